@@ -55,7 +55,14 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return labels.select(F.col("root").alias("group_id"), "member")
 
 
+def known_pairs(pairs: DataFrame, a: str, b: str, records: DataFrame, key: str) -> DataFrame:
+    """The pairs of which both sides are records; a side that is none links nothing."""
+    ids = records.where(F.col(key).isNotNull()).select(key).distinct()
+    first = pairs.join(ids.withColumnRenamed(key, "_a"), F.col(a) == F.col("_a"), "left_semi")
+    return first.join(ids.withColumnRenamed(key, "_b"), F.col(b) == F.col("_b"), "left_semi")
+
+
 def assign_groups(records: DataFrame, key: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """A group for every distinct record: that of its pairs, or itself alone."""
-    found = connected_groups(pairs, a, b).withColumnRenamed("member", key)
+    """A group for every distinct record: that of its pairs with other records, or itself alone."""
+    found = connected_groups(known_pairs(pairs, a, b, records, key), a, b).withColumnRenamed("member", key)
     return records.where(F.col(key).isNotNull()).select(key).distinct().join(found, key, "left").select(F.coalesce("group_id", key).alias("group_id"), key)
