@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.bins import fill_containers, unused_room
 from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
 from factloom.llm.repeated_lines import repeated_lines, without_lines
@@ -47,6 +48,23 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", token_count("text").alias("tokens"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that alone exceed a container of a kind."""
+    kinds = F.broadcast(table(spark, sf_dir, "container_kinds"))  # one row a kind
+    return _sized(spark, sf_dir).where("doc_id is not null").join(kinds, F.col("tokens") > F.col("capacity_tokens")).select("container_kind", "doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each part of one that exceeds it."""
+    sized = Stage(spark, "sized").cut(_sized(spark, sf_dir), "tokens")  # else each reader counts the tokens anew
+    return fill_containers(sized, table(spark, sf_dir, "container_kinds"), "doc_id")
+
+
+def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each kind and their unused room."""
+    return unused_room(p8_containers(spark, sf_dir), table(spark, sf_dir, "container_kinds"))
+
+
 def _rates(spark: SparkSession, sf_dir: str, sized: DataFrame) -> DataFrame:
     return source_rates(sized, table(spark, sf_dir, "mix_targets"))
 
@@ -58,7 +76,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy of each document in the mixture, with its tokens."""
-    sized = Stage(spark, "sized").cut(_sized(spark, sf_dir), "tokens")  # else each reader counts the tokens anew
+    sized = Stage(spark, "sized").cut(_sized(spark, sf_dir), "tokens")
     return mixture(sized, _rates(spark, sf_dir, sized), "doc_id")
 
 
@@ -69,4 +87,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(mixture(sized, rates, "doc_id"), rates)
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+}
