@@ -1,9 +1,8 @@
-"""Lines that recur within one source, found as templates of fixed-depth token trees.
+"""Lines that recur within one source, found by an exact count of pages for each sequence of letters.
 
-A line is parsed into tokens; tokens without letters are wildcard slots.  The tree of a source has a level for the
-number of lettered tokens, levels for the first ``DEPTH`` of them and leaves for whole templates.  Each task builds
-trees over its own lines as partial aggregates; the exchange merges them by path.  Leaves that differ only in slots or
-in where tokens are cut carry the same letters and are merged once more by these, which makes the count exact.
+``line_templates`` also gives each line its place in a fixed-depth token tree: the number of lettered tokens, the first
+``DEPTH`` of them and the template with wildcard slots.  ``repeated_lines`` does not read these: lines that differ only
+in slots or in where tokens are cut carry the same letters, so the hash of the letters alone decides.
 
 Null sources, pages and texts are left out; a repeated page counts once; blank lines and lines with fewer than
 ``min_letters`` letters are never found.
