@@ -9,6 +9,7 @@ from factloom.llm.bins import fill_containers, unused_room
 from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
 from factloom.llm.repeated_lines import repeated_lines, without_lines
+from factloom.llm.residue import residue, without_residue
 from factloom.llm.tokens import token_count
 from factloom.plans.staging import Stage
 from factloom.sources.tables import table
@@ -87,7 +88,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(mixture(sized, rates, "doc_id"), rates)
 
 
+def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no report text, each with the reason."""
+    return residue(table(spark, sf_dir, "documents"), "doc_id", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an unfilled template field, and those that are only filler, an error or access message or a request for scripts."""
+    return p10_residue(spark, sf_dir).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without those."""
+    return without_residue(table(spark, sf_dir, "documents"), p10_residue(spark, sf_dir), "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p8_found": p8_found, "p8_containers": p8_containers,
-    "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_residue": p10_residue, "p10_kept": p10_kept,
 }
