@@ -10,8 +10,11 @@ from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
 from factloom.llm.repeated_lines import repeated_lines, without_lines
 from factloom.llm.residue import residue, without_residue
+from factloom.llm.sentences import sentence_ends, sentences
 from factloom.llm.tokens import token_count
+from factloom.plans.joins import lookup_join
 from factloom.plans.staging import Stage
+from factloom.queries_general import SALTS, document_categories
 from factloom.sources.tables import table
 
 
@@ -45,6 +48,26 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(table(spark, sf_dir, "document_pages"), _recurring(spark, sf_dir), "id")
 
 
+def _quotes_and_editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The records of problem 7: quotes of facts, and pages of the language editions, whose lines end sentences."""
+    quotes = table(spark, sf_dir, "facts").select(F.col("id").alias("record_id"), F.col("evidence_quote").alias("text"))
+    editions = document_categories(spark, sf_dir).where(F.col("source") == "language_editions").select("document_id")
+    pages = lookup_join(table(spark, sf_dir, "document_pages").select(F.col("id").alias("record_id"), "document_id", "text"), editions, "document_id", "left_semi", salts=SALTS)
+    return quotes, pages.select("record_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of each sentence that another one follows in its record."""
+    quotes, pages = _quotes_and_editions(spark, sf_dir)
+    return sentence_ends(quotes, "record_id", "text", line_ends=False).unionByName(sentence_ends(pages, "record_id", "text", line_ends=True))
+
+
+def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of the records, with its place in code points."""
+    quotes, pages = _quotes_and_editions(spark, sf_dir)
+    return sentences(quotes, "record_id", "text", line_ends=False).unionByName(sentences(pages, "record_id", "text", line_ends=True))
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", token_count("text").alias("tokens"))
 
@@ -104,6 +127,6 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
     "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_residue": p10_residue, "p10_kept": p10_kept,
 }
