@@ -10,6 +10,7 @@ from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
 from factloom.llm.repeated_lines import repeated_lines, without_lines
 from factloom.llm.residue import residue, without_residue
+from factloom.llm.scanned import Repair
 from factloom.llm.sentences import sentence_ends, sentences
 from factloom.llm.tokens import token_count
 from factloom.plans.joins import lookup_join
@@ -34,6 +35,22 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_groups(table(spark, sf_dir, "facts"), "id", _links(spark, sf_dir), "fact_a_id", "fact_b_id").withColumnRenamed("id", "fact_id")
 
 
+def _repair(spark: SparkSession, sf_dir: str) -> Repair:
+    documents = table(spark, sf_dir, "source_documents").where("id is not null").groupBy(F.col("id").alias("document_id"))
+    titles = documents.agg(F.max("title").alias("title"), F.max("dominant_subject").alias("publisher"))
+    return Repair(table(spark, sf_dir, "document_pages"), titles)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken words, misread words and numbers, running heads and page numbers of every page."""
+    return _repair(spark, sf_dir).faults()
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page once as continuous paragraphs."""
+    return _repair(spark, sf_dir).repaired()
+
+
 def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "document_pages"), "document_id", "id")
 
@@ -127,6 +144,6 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pages": p3_pages, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pages": p2_pages, "p3_found": p3_found, "p3_pages": p3_pages, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
     "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_residue": p10_residue, "p10_kept": p10_kept,
 }

@@ -76,6 +76,8 @@ HELPERS = [
     r"(?:please )?(?:try|check|come) (?:again|back)\b.*", r"(?:go|return|get) (?:back )?to the\b.*", r"(?:please )?check the (?:address|link|url|spelling)\b.*", r"if (?:the|this) (?:problem|error|issue) (?:persists|continues)\b.*", r"(?:please )?contact (?:the|your|our)? ?(?:system )?(?:support|administrator|help ?desk|site owner)\b.*", r"(?:incident|reference|request|error|ticket|trace|case|support)(?: (?:id|code|number|no))?[ :#]*[0x-]+[0a-f-]*\.?",
     r"(?:please )?(?:sign|log) in(?: again)?\b.*", r"loading(?:…|\.\.\.)?", r"please wait.*", r".*bitte versuchen sie es\b.*", r".*(?:réessayer|veuillez vous reconnecter|réessayez).*", r".*inténtelo (?:de nuevo|más tarde).*", r"请(?:稍后|重新).{0,20}", r"(?:後で|しばらくして|もう一度).{0,30}", r"(?:يرجى المحاولة|حاول مرة).{0,30}", r"(?:कृपया (?:बाद में|पुनः|फिर)).{0,30}", r"(?:กรุณาลอง|โปรดลอง).{0,30}",
 ]
+# Every rule but those of filler words needs one of these.
+CUES = "script|\\bjs\\b|cookies|browser|without |found|gateway|server|unavailable|time-? ?out|timed out|forbidden|unauthori|bad request|too many|gone|moved|not allowed|precondition|error|fehler|erreur|0\\)|expired|limit|blocked|logged|signed|could not|cannot|can not|can't|couldn't|could only|did not|didn't|returned an|is closed|is down|no longer|not available|temporarily|currently|under maintenance|corrupt|can be |permission|access|denied|refused|reset|rejected|failed|lost|closed|log ?in|sign[- ]?in|authentication|subscription|registration|invalid|missing|unknown|unexpected|internal|oops|sorry|whoops|uh oh|something went|nothing to see|session|traceback|^file |exception|^at |nicht |verweigert|abgelaufen|introuvable|refusé|indisponible|n'est pas|no se |no está|denegado|sesión|找不|不存在|无法|被拒绝|不可用|会话|ページ|アクセス|サービス|セッション|الصفحة|رفض|الخدمة|انتهت|नहीं मिला|अस्वीकृत|उपलब्ध नहीं|समाप्त|ไม่พบ|ปฏิเสธ|ไม่สามารถ|หมดอายุ|click|tap |press|replace|insert|add |write |type |enter |paste |put |your |sample|example|dummy|placeholder|goes here|tbd|tba|tbc|todo|to be |n/a|text|示例|输入|サンプル|ここに|ダミー|نص|नमूना|उदाहरण|यहाँ|ข้อความ|^([a-z]{1,5})(?: \\1)+$|asdf|qwert|xxx|zzz|foo|bar|baz|blah|bla|test|abc|try |check |come |go |return |get |problem|issue|contact |incident|reference|request|ticket|trace|loading|please|bitte|réessay|veuillez|inténtelo|请|後で|しばらく|もう一度|يرجى|حاول|कृपया|กรุณา|โปรด|تفعيل|تمكين|تشغيل|需要|必须|启用|有効"
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 
 
@@ -101,24 +103,18 @@ def messages(text: Column) -> Column:
 
 def message_kind(message: Column) -> Column:
     """``script``, ``error``, ``filler``, ``helper``, ``title``, or null for what no rule names."""
-    words = F.size(F.split(message, " "))
-    latin = F.size(F.filter(F.split(F.regexp_replace(message, r"[^a-z ]", ""), " +"), lambda w: w.isin(LOREM.split())))
+    words = F.length(message) - F.length(F.replace(message, F.lit(" "), F.lit(""))) + 1
+    latin = F.regexp_count(message, F.lit(rf"\b(?:{'|'.join(LOREM.split())})\b"))
     title = (F.length(message) <= TITLE_LENGTH) & (words <= 9) & ~message.rlike(r"[.!?。！？।؟…]$")
-    return (
-        F.when(message.rlike(_any(SCRIPTS)), "script")
-        .when(message.rlike(_any(ERRORS)), "error")
-        .when(message.rlike(_any(FILLERS)) | ((words >= 3) & (latin >= words * 0.7)), "filler")
-        .when(message.rlike(_any(HELPERS)), "helper")
-        .when(title, "title")
-    )
+    named = F.when(message.rlike(_any(SCRIPTS)), "script").when(message.rlike(_any(ERRORS)), "error").when(message.rlike(_any(FILLERS)), "filler").when(message.rlike(_any(HELPERS)), "helper")
+    return F.coalesce(F.when(message.rlike(CUES), named), F.when((words >= 3) & message.rlike(r"^[a-z .,]+$") & (latin >= words * 0.7), "filler"), F.when(title, "title"))
 
 
-def message_table(texts: DataFrame, source: str, text: str = "text") -> DataFrame:
-    """Every distinct message: its hash, the records and sources that hold it, and its kind."""
-    each = texts.where(F.col(text).isNotNull()).select(F.col(source).alias("_source"), F.explode(messages(F.col(text))).alias("message"))
-    by_source = each.groupBy("message", "_source").agg(F.count("*").alias("n"))
+def message_table(each: DataFrame) -> DataFrame:
+    """Every distinct message of (source, message) rows: its hash, the records and sources that hold it, and its kind."""
+    by_source = each.groupBy("message", "source").agg(F.count("*").alias("n"))
     grouped = by_source.groupBy("message").agg(F.sum("n").alias("records"), F.count("*").alias("sources"))
-    return grouped.select(F.xxhash64("message").alias("hash"), "message", "records", "sources", message_kind(F.col("message")).alias("kind"))
+    return grouped.select(F.xxhash64("message").alias("hash"), "records", "sources", message_kind(F.col("message")).alias("kind"))
 
 
 def residue(texts: DataFrame, key: str, source: str, text: str = "text") -> DataFrame:
@@ -127,14 +123,14 @@ def residue(texts: DataFrame, key: str, source: str, text: str = "text") -> Data
     texts: key (unique), source, text; any of the last two may be null.
     """
     stage = Stage(texts.sparkSession, "residue")
-    table = stage.cut(message_table(texts, source, text), "messages")
-    named = table.where("kind is not null").select("hash", "kind")
     given = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    each = given.select(key, F.explode(F.transform(messages(F.col(text)), lambda m: F.xxhash64(m))).alias("hash"))
+    each = stage.cut(given.select(F.col(key).alias("key"), F.col(source).alias("source"), F.explode(messages(F.col(text))).alias("message")), "each")
+    table = stage.cut(message_table(each), "messages")
+    named = table.where("kind is not null").select("hash", "kind")
     count = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
     judged = (
-        lookup_join(each, named, "hash", salts=SALTS)
-        .groupBy(key)
+        lookup_join(each.select("key", F.xxhash64("message").alias("hash")), named, "hash", salts=SALTS)
+        .groupBy("key")
         .agg(count("script").alias("script"), count("error").alias("error"), count("filler").alias("filler"), F.count(F.when(F.col("kind").isNull(), 1)).alias("other"), F.max(F.when(F.col("kind").isNull(), F.col("hash"))).alias("hash"))
         .where("script + error + filler > 0 and other <= 1")
     )
@@ -146,7 +142,7 @@ def residue(texts: DataFrame, key: str, source: str, text: str = "text") -> Data
     whole = judged.where("other = 0").unionByName(judged.where("other = 1").join(adopted, "hash", "left_semi").select(*judged.columns))
     reason = F.when(F.col("script") > 0, "script").when(F.col("error") > 0, "error").otherwise("filler")
     unfilled = given.where(has_placeholder(F.col(text))).select(key, F.lit("placeholder").alias("reason"))
-    found = unfilled.unionByName(whole.select(key, reason.alias("reason")))
+    found = unfilled.unionByName(whole.select(F.col("key").alias(key), reason.alias("reason")))
     return found.groupBy(key).agg(F.min("reason").alias("reason"))
 
 
