@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bins import fill_containers, unused_room
 from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
+from factloom.llm.names import average_linkage, name_groups, similar_names, variant_pairs
 from factloom.llm.repeated_lines import repeated_lines, without_lines
 from factloom.llm.residue import residue, without_residue
 from factloom.llm.scanned import Repair
@@ -65,6 +66,16 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(table(spark, sf_dir, "document_pages"), _recurring(spark, sf_dir), "id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of normalised subjects that mean the same organisation or person."""
+    return variant_pairs(average_linkage(similar_names(table(spark, sf_dir, "facts"), "subject_normalized")))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every normalised subject with the group of its spellings."""
+    return name_groups(table(spark, sf_dir, "facts"), "subject_normalized")
+
+
 def _quotes_and_editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The records of problem 7: quotes of facts, and pages of the language editions, whose lines end sentences."""
     quotes = table(spark, sf_dir, "facts").select(F.col("id").alias("record_id"), F.col("evidence_quote").alias("text"))
@@ -144,6 +155,6 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pages": p2_pages, "p3_found": p3_found, "p3_pages": p3_pages, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pages": p2_pages, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
     "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_residue": p10_residue, "p10_kept": p10_kept,
 }
