@@ -39,14 +39,15 @@ SALTS = 8
 # What a scanner reads for what is printed.
 CONFUSIONS = [
     ("rn", "m"), ("m", "rn"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("ii", "u"), ("w", "vv"), ("vv", "w"), ("li", "h"), ("h", "li"), ("n", "ri"), ("ri", "n"), ("in", "m"), ("ni", "m"), ("e", "c"), ("c", "e"), ("c", "("), ("o", "0"), ("l", "1"), ("i", "l"), ("l", "i"), ("i", "1"),
-    ("s", "5"), ("g", "9"), ("b", "6"), ("b", "8"), ("h", "b"), ("b", "h"), ("t", "f"), ("f", "t"), ("a", "à"), ("a", "á"), ("e", "é"), ("o", "ò"), ("u", "ü"), ("v", "y"), ("y", "v"), ("z", "2"), ("tt", "ft"), ("ll", "11"), ("a", "o"), ("o", "a"), ("q", "g"), ("l", "|"), ("i", "!"),
+    ("s", "5"), ("g", "9"), ("b", "6"), ("b", "8"), ("h", "b"), ("b", "h"), ("t", "f"), ("f", "t"), ("a", "à"), ("a", "á"), ("e", "é"), ("o", "ò"), ("u", "ü"), ("v", "y"), ("y", "v"), ("z", "2"), ("tt", "ft"), ("ll", "11"), ("a", "o"), ("o", "a"), ("q", "g"), ("l", "|"), ("i", "!"), ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"),
 ]
 # Strokes of characters that are confused; what is left out stands for itself.
-STROKES = {"m": "rrl", "n": "rl", "d": "cl", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "i": "l", "1": "l", "|": "l", "!": "l", "w": "vv", "y": "v", "e": "c", "(": "c", "f": "t", "0": "o", "5": "s", "9": "g", "q": "g", "2": "z", "a": "a", "ß": "s"}
+STROKES = {"m": "lll", "n": "ll", "d": "cl", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "i": "l", "r": "l", "1": "l", "|": "l", "!": "l", "w": "vv", "y": "v", "e": "c", "(": "c", "f": "t", "0": "o", "5": "s", "9": "g", "q": "g", "2": "z", "a": "a", "ß": "s"}
 DIGITS = str.maketrans("OoDQlIi|!ZzSsBbgq", "00001111122558699")
 # A numeral with separators; the letters that stand for its digits when misread.
 _NUMERAL = re.compile(r"[+\-−(]?\d{1,3}(?:[,. ' ]\d{2,3})*(?:[.,]\d+)?|\d+(?:[.,]\d+)?|\d{4}[-/]\d{2,4}")
-_MISREAD_NUMERAL = re.compile(r"(?=.*\d)(?=.*[OoDlI|!ZSsBbgq])[\dOoDlI|!ZSsBbgq]+(?:[.,\-/][\dOoDlI|!ZSsBbgq]+)*")
+_MISREAD_NUMERAL = re.compile(r"(?=.*\d)(?=.*[OoDlI|!ZSsBbgq])[\dOoDlI|!ZSsBbgq]+(?:[.,\-/:][\dOoDlI|!ZSsBbgq]+)*")
+_CURRENCY = re.compile(r"[+\-−]?(?:US\$|S\$|[€$£₹¥])")
 _STRIP = " .,;:!?()[]\"“”„‘’'«»‚‹›"
 _BREAKS = "-­‐‑¬"
 _BROKEN = re.compile(rf"(\S*\w)[{_BREAKS}]\s*$")
@@ -61,7 +62,7 @@ _FOLDED = [("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("li
 
 def strokes(form: str) -> str:
     """A form as strokes, without accents."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", form) if not unicodedata.combining(c))
+    plain = "".join(c for c in unicodedata.normalize("NFKD", form) if not unicodedata.combining(c))
     return "".join(STROKES.get(c, c) for c in plain)
 
 
@@ -99,10 +100,10 @@ def confused(form: str, word: str) -> int | None:
     return best.get((len(word), len(form)))
 
 
-def features(form: str, n: int, capitals: float, word: str, count: int, shared: float) -> list[float]:
+def features(form: str, n: int, capitals: float, word: str, count: int, word_capitals: float, shared: float) -> list[float]:
     made = confused(form, word)
     odd = sum(not c.isalpha() and c != "-" for c in form)
-    return [9 if made is None else made, _distance(form, word), float(strokes(form) == strokes(word)), shared, np.log10(count / max(n, 1)), np.log10(count), len(word), odd, capitals, float(form[:1] == word[:1])]
+    return [9 if made is None else made, _distance(form, word), float(strokes(form) == strokes(word)), shared, np.log10(count / max(n, 1)), np.log10(count), len(word), odd, capitals, word_capitals, float(form[:1] == word[:1])]
 
 
 def _corrupt(word: str, k: int) -> list[str]:
@@ -114,10 +115,10 @@ def _corrupt(word: str, k: int) -> list[str]:
     return [word[:i] + b + word[i + len(a) :] for i, a, b in places[:: step][:k]]
 
 
-def train_ranker(words: list[tuple[str, int]], names: list[tuple[str, int, float]]) -> Boosted:
+def train_ranker(words: list[tuple[str, int, float]], names: list[tuple[str, int, float]]) -> Boosted:
     """Boosted trees over (form, candidate) pairs: corrupted copies of words against names and other words."""
     index: dict[str, list[int]] = {}
-    for at, (w, _) in enumerate(words):
+    for at, (w, _, _) in enumerate(words):
         for g in grams(w):
             index.setdefault(g, []).append(at)
     x, y = [], []
@@ -126,18 +127,19 @@ def train_ranker(words: list[tuple[str, int]], names: list[tuple[str, int, float
         own = grams(form)
         hits = Counter(at for g in own for at in index.get(g, ()))
         for at, k in hits.most_common(4):
-            w, count = words[at]
+            w, count, share = words[at]
             if w != form and k >= OVERLAP * len(own) and count >= MIN_RATIO * n:
-                x.append(features(form, n, capitals, w, count, k / len(own)))
+                x.append(features(form, n, capitals, w, count, share, k / len(own)))
                 y.append(float(w == right))
 
-    for at, (w, count) in enumerate(words):
-        for c in _corrupt(w, 2):
-            pairs(c, max(1, count // (20 + 997 * (at % 40))), 0.1 * (at % 3), w)
+    for at, (w, count, share) in enumerate(words):
+        for c in _corrupt(w, 3):
+            # a corrupted form is seen seldom, so the share of its capitals is its word's, or all or none
+            pairs(c, max(1, count // (20 + 997 * (at % 40))), (share, 0.0, 1.0 if share > 0.02 else share)[at % 3], w)
     for form, n, capitals in names:
         pairs(form, n, capitals, None)
     if len(set(y)) < 2:
-        x, y = [[0, 1, 1, 1, 3, 3, 6, 0, 0, 1], [9, 4, 0, 0.6, 1, 1, 6, 0, 1, 0]], [1.0, 0.0]
+        x, y = [[0, 1, 1, 1, 3, 3, 6, 0, 0, 0, 1], [9, 4, 0, 0.6, 1, 1, 6, 0, 1, 1, 0]], [1.0, 0.0]
     return Boosted().fit(np.array(x), np.array(y))
 
 
@@ -156,12 +158,12 @@ def _tokens(text: str) -> Iterator[tuple[int, int, str, str, bool, bool, bool]]:
         shouted = sum(c.isupper() for c in line) > sum(c.islower() for c in line)
         for i, t in enumerate(raw):
             written = t.strip(_STRIP)
-            if t[:1] == "(" and ")" not in t and written[:1].islower():
-                written = "(" + written  # a misread c, or a bracket
+            # a bracket, or a misread c
+            also = ["(" + written] if t[:1] == "(" and ")" not in t and written[:1].islower() else []
             if written and not (i == 0 and carried) and not (broken and i == len(raw) - 1):
-                low = written.lower()
                 named = not shouted and caps[i] and ((i + 1 < len(raw) and caps[i + 1] and not _SENTENCE_END.search(t)) or (i > 0 and caps[i - 1] and not opens and not _SENTENCE_END.search(raw[i - 1])))
-                yield line_no, i, low, written, caps[i], opens, named
+                for w in (written, *also):
+                    yield line_no, i, w.lower(), w, caps[i], opens, named
             opens = bool(_SENTENCE_END.search(t)) and not re.fullmatch(r"(?:[A-Z]|Dr|Mr|Mrs|St|Ltd|Inc|Pvt|Prof|Co|No|Fig|Sec)\.", t)
         carried = broken
 
@@ -246,17 +248,17 @@ class Repair:
         ordered = ranked.groupBy("form").agg(F.array_sort(F.collect_list(F.struct(_count(F.col("df")).alias("df"), "gram"))).alias("g"))
         prefix = ordered.select("form", F.size("g").alias("size"), F.explode(F.slice("g", 1, F.size("g") - F.ceil(F.size("g") * OVERLAP).cast("int") + 1)).alias("x")).where("x.df > 0").select("form", "size", F.col("x.gram").alias("gram"))
         near = prefix.join(index, "gram").where((F.col("form") != F.col("word")) & (F.abs(F.length("form") - F.length("word")) <= 3)).select("form", "word").distinct()
-        sides = near.join(own, "form").join(right.select(F.col("form").alias("word"), F.col("n").alias("count"), _grammed("form").alias("_w")), "word")
+        sides = near.join(own, "form").join(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.col("capitals").alias("word_capitals"), _grammed("form").alias("_w")), "word")
         shared = F.size(F.array_intersect("grams", "_w")) / F.size("grams")
-        pairs = sides.withColumn("shared", shared).where((F.col("shared") >= OVERLAP) & (F.col("count") >= F.col("n") * MIN_RATIO)).select("form", "n", "capitals", "word", "count", "shared")
-        words = [(r["form"], r["n"]) for r in right.orderBy(F.desc("n"), "form").limit(SAMPLE_WORDS).collect()]
+        pairs = sides.withColumn("shared", shared).where((F.col("shared") >= OVERLAP) & (F.col("count") >= F.col("n") * MIN_RATIO)).select("form", "n", "capitals", "word", "count", "word_capitals", "shared")
+        words = [(r["form"], r["n"], r["capitals"]) for r in right.orderBy(F.desc("n"), "form").limit(SAMPLE_WORDS).collect()]
         names = [(r["form"], r["n"], r["capitals"]) for r in forms.where((F.col("capitals") > 0.9) & (F.col("n") < MIN_COUNT) & ~F.col("form").rlike(r"[\d(]")).orderBy(F.xxhash64("form"), "form").limit(SAMPLE_NAMES).collect()]
         model = train_ranker(words, names)
 
         def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    x = np.array([features(*r) for r in zip(pdf["form"], pdf["n"], pdf["capitals"], pdf["word"], pdf["count"], pdf["shared"])])
+                    x = np.array([features(*r) for r in zip(pdf["form"], pdf["n"], pdf["capitals"], pdf["word"], pdf["count"], pdf["word_capitals"], pdf["shared"])])
                     p = np.where(x[:, 0] < 9, model.probability(x), 0.0)
                     yield pd.DataFrame({"form": pdf["form"], "word": pdf["word"], "score": p, "count": pdf["count"], "common": (x[:, 4] >= 2.5) & (x[:, 0] == 1)})[p >= ACCEPT]
 
@@ -287,7 +289,7 @@ class Repair:
 
     def _misread(self) -> DataFrame:
         wanted = self.stage.cut(self.pages.select("id", "text").mapInPandas(_suspects(self._clean()), TOKEN_SCHEMA), "tokens")
-        numbers = wanted.where("form rlike '[0-9]'").select("id", "line_no", "place", "written", _numeral("written").alias("word")).where("word is not null")
+        numbers = wanted.where("form rlike '[0-9]'").select("id", "line_no", "place", "written", _numerals(self._units())("written").alias("word")).where("word is not null")
         # names have no misread characters; a capital before a capital may still open a sentence, and no name holds a digit
         words = lookup_join(wanted, self.corrections, "form", "inner", salts=SALTS).where("not named or form rlike '[0-9(]' or (opens and common)")
         cased = F.when((F.col("written") == F.upper("written")) & (F.length(F.regexp_replace("written", r"\P{L}", "")) > 1) & ~F.col("opens"), F.upper("word"))
@@ -298,6 +300,14 @@ class Repair:
         heads = self.furniture.select("id", "line_no")
         return both.join(heads, ["id", "line_no"], "left_anti")
 
+    def _units(self) -> str:
+        """Of the letters that misread digits look like, those that end numbers far oftener than they stand within them: units."""
+        ends, within = F.regexp_extract("form", r"^[\d.,]*\d([lgbsq])$", 1), F.regexp_extract("form", r"^[\d.,]*([lgbsq])[\d.,]*\d$", 1)
+        counts = self.words.where("form rlike '[0-9]'").select("n", ends.alias("e"), within.alias("w")).where("e <> '' or w <> ''")
+        letter = F.when(F.col("e") != "", F.col("e")).otherwise(F.col("w"))
+        rows = counts.groupBy(letter.alias("letter")).agg(F.sum(F.when(F.col("e") != "", F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("e") == "", F.col("n")).otherwise(0)).alias("within")).collect()
+        return "".join(sorted(r["letter"] for r in rows if r["ends"] > 3 * r["within"]))
+
     def _clean(self) -> frozenset[str]:
         """Of the most frequent forms, those that need no correction: a bounded set that tokens needn't be joined for."""
         top = self.words.where("n >= 20").orderBy(F.desc("n"), "form").limit(20000).select("form")
@@ -456,28 +466,29 @@ def _page_of(lines: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
-_UNITS_AFTER, _UNIT_WORD = re.compile(r"\d[lgbsq]$"), re.compile(r"\d(?:sq|bbl|gb|lb|lbs|bl|gal)$")
+_UNIT_WORD = re.compile(r"\d(?:sq|bbl|gb|lb|lbs|bl|gal)$")
 
 
-def read_numeral(written: str) -> str | None:
-    """The numeral that a misread one stands for, or none."""
-    if not _MISREAD_NUMERAL.fullmatch(written) or not any(c.isdigit() for c in written):
+def read_numeral(written: str, units: str = "") -> str | None:
+    """The numeral that a misread one stands for, or none; a letter of ``units`` at the end is a unit."""
+    if m := _CURRENCY.match(written):
+        rest = read_numeral(written[m.end() :], units)
+        return None if rest is None else m[0] + rest
+    if not _MISREAD_NUMERAL.fullmatch(written) or _UNIT_WORD.search(written) or re.fullmatch(r"[QHT]\d", written):
         return None
     right = written.translate(DIGITS)
     if not _NUMERAL.fullmatch(right) or right == written:
         return None
-    if _UNITS_AFTER.search(written) and sum(not c.isdigit() and c not in ".,-/" for c in written) == 1:
-        year = re.fullmatch(r"(?:19|20)\d\d", right)
-        if not (year or re.search(r"[,.]\d\d[lgbsq]$", written)):
-            return None  # a number with its unit
-    if re.fullmatch(r"[A-Z]\d{1,2}", written) or _UNIT_WORD.search(written):
-        return None  # a label, a number with its unit
-    return right
-
-
-@F.pandas_udf(T.StringType())
-def _numeral(written: pd.Series) -> pd.Series:
-    return written.map(read_numeral)
+    odd = [c for c in written if not c.isdigit() and c not in ".,-/"]
+    return None if len(odd) == 1 and written[-1] in units else right
+
+
+def _numerals(units: str):
+    @F.pandas_udf(T.StringType())
+    def run(written: pd.Series) -> pd.Series:
+        return written.map(lambda w: read_numeral(w, units))
+
+    return run
 
 
 def _suspects(clean: frozenset[str]):
