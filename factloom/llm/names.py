@@ -203,10 +203,14 @@ def same_bearer(a: Parts, b: Parts) -> bool:
 
 
 def name_grams(p: Parts) -> list[str]:
-    """Character n-grams of the identifying words, and the common words as wholes."""
+    """Character n-grams of the identifying words."""
     core = "".join(map(plain, p.core)) or "".join(p.initials)
-    out = {core[i : i + n] for n in SIZES for i in range(max(len(core) - n + 1, 1))} if core else set()
-    return sorted(out | {f"={w}" for w in (*p.given, *p.kinds)})
+    return sorted({core[i : i + n] for n in SIZES for i in range(max(len(core) - n + 1, 1))}) if core else []
+
+
+def name_tags(p: Parts) -> list[str]:
+    """What two names of one bearer share if both have any: a kind of body, or the letter of a given name."""
+    return list(p.kinds) or sorted({g[0] for g in p.given} | set(p.initials))
 
 
 def common_words(names: DataFrame, name: str) -> list[str]:
@@ -228,9 +232,10 @@ def similar_names(names: DataFrame, name: str, cosine: float = COSINE) -> DataFr
     def gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(kinds)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "grams": [name_grams(reader.parts(k)) for k in pdf["key"]]})
+            parts = [reader.parts(k) for k in pdf["key"]]
+            yield pd.DataFrame({"key": pdf["key"], "grams": [name_grams(p) for p in parts], "tags": [name_tags(p) for p in parts]})
 
-    grams = stage.cut(keys.mapInPandas(gram_rows, "key string, grams array<string>"), "grams")
+    grams = stage.cut(keys.mapInPandas(gram_rows, "key string, grams array<string>, tags array<string>"), "grams")
     each = grams.select("key", F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
     total = float(keys.count())
@@ -241,8 +246,13 @@ def similar_names(names: DataFrame, name: str, cosine: float = COSINE) -> DataFr
     # rarest first, as many as leave a rest shorter than the cosine: two names above it share one of these
     rest = F.transform("v", lambda x, i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda a, y: a + y["r"] * y["r"]))
     lead = F.filter(F.transform("v", lambda x, i: F.struct(x["gram"].alias("gram"), rest[i].alias("rest"))), lambda x: x["rest"] >= F.pow(F.col("norm") * cosine, F.lit(2)))
-    index = stage.cut(vectors.select("key", F.explode(lead["gram"]).alias("gram")), "index")
-    near = index.select(F.col("key").alias("key_a"), "gram").join(index.select(F.col("key").alias("key_b"), "gram"), "gram").where("key_a < key_b").select("key_a", "key_b").distinct()
+    index = stage.cut(vectors.join(grams.select("key", "tags"), "key").select("key", "tags", F.explode(lead["gram"]).alias("gram")), "index")
+    # names that both have a tag share one; the few without meet all
+    tagged = index.where(F.size("tags") > 0).select("key", "gram", F.explode("tags").alias("tag"))
+    alike = tagged.select(F.col("key").alias("key_a"), "gram", "tag").join(tagged.select(F.col("key").alias("key_b"), "gram", "tag"), ["gram", "tag"])
+    bare = index.where(F.size("tags") == 0).select(F.col("key").alias("key_a"), "gram").join(index.select(F.col("key").alias("key_b"), "gram", "tags"), "gram").where("size(tags) > 0 or key_a < key_b")
+    ordered = bare.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
+    near = alike.where("key_a < key_b").select("key_a", "key_b").unionByName(ordered).distinct()
     of = lambda side: vectors.select(F.col("key").alias(f"key_{side}"), F.col("v").alias(f"v_{side}"), F.col("norm").alias(f"norm_{side}"))
     both = near.join(of("a"), "key_a").join(of("b"), "key_b")
     dot = F.aggregate(F.array_intersect("v_a", "v_b"), F.lit(0.0), lambda a, x: a + x["r"] * x["r"]) / (F.col("norm_a") * F.col("norm_b"))

@@ -76,8 +76,17 @@ HELPERS = [
     r"(?:please )?(?:try|check|come) (?:again|back)\b.*", r"(?:go|return|get) (?:back )?to the\b.*", r"(?:please )?check the (?:address|link|url|spelling)\b.*", r"if (?:the|this) (?:problem|error|issue) (?:persists|continues)\b.*", r"(?:please )?contact (?:the|your|our)? ?(?:system )?(?:support|administrator|help ?desk|site owner)\b.*", r"(?:incident|reference|request|error|ticket|trace|case|support)(?: (?:id|code|number|no))?[ :#]*[0x-]+[0a-f-]*\.?",
     r"(?:please )?(?:sign|log) in(?: again)?\b.*", r"loading(?:…|\.\.\.)?", r"please wait.*", r".*bitte versuchen sie es\b.*", r".*(?:réessayer|veuillez vous reconnecter|réessayez).*", r".*inténtelo (?:de nuevo|más tarde).*", r"请(?:稍后|重新).{0,20}", r"(?:後で|しばらくして|もう一度).{0,30}", r"(?:يرجى المحاولة|حاول مرة).{0,30}", r"(?:कृपया (?:बाद में|पुनः|फिर)).{0,30}", r"(?:กรุณาลอง|โปรดลอง).{0,30}",
 ]
-# Every rule but those of filler words needs one of these.
-CUES = "script|\\bjs\\b|cookies|browser|without |found|gateway|server|unavailable|time-? ?out|timed out|forbidden|unauthori|bad request|too many|gone|moved|not allowed|precondition|error|fehler|erreur|0\\)|expired|limit|blocked|logged|signed|could not|cannot|can not|can't|couldn't|could only|did not|didn't|returned an|is closed|is down|no longer|not available|temporarily|currently|under maintenance|corrupt|can be |permission|access|denied|refused|reset|rejected|failed|lost|closed|log ?in|sign[- ]?in|authentication|subscription|registration|invalid|missing|unknown|unexpected|internal|oops|sorry|whoops|uh oh|something went|nothing to see|session|traceback|^file |exception|^at |nicht |verweigert|abgelaufen|introuvable|refusé|indisponible|n'est pas|no se |no está|denegado|sesión|找不|不存在|无法|被拒绝|不可用|会话|ページ|アクセス|サービス|セッション|الصفحة|رفض|الخدمة|انتهت|नहीं मिला|अस्वीकृत|उपलब्ध नहीं|समाप्त|ไม่พบ|ปฏิเสธ|ไม่สามารถ|หมดอายุ|click|tap |press|replace|insert|add |write |type |enter |paste |put |your |sample|example|dummy|placeholder|goes here|tbd|tba|tbc|todo|to be |n/a|text|示例|输入|サンプル|ここに|ダミー|نص|नमूना|उदाहरण|यहाँ|ข้อความ|^([a-z]{1,5})(?: \\1)+$|asdf|qwert|xxx|zzz|foo|bar|baz|blah|bla|test|abc|try |check |come |go |return |get |problem|issue|contact |incident|reference|request|ticket|trace|loading|please|bitte|réessay|veuillez|inténtelo|请|後で|しばらく|もう一度|يرجى|حاول|कृपया|กรุณา|โปรด|تفعيل|تمكين|تشغيل|需要|必须|启用|有効"
+# Beginnings of words of which every rule in Latin letters needs one, but for those of filler words.
+CUES = (
+    "script java noscript js cookies browser without found gateway server unavailable time timed forbidden unauthori bad request too gone moved not precondition error fehler erreur expired limit blocked logged signed could cannot can couldn "
+    "did didn returned is no temporarily currently under corrupt permission access denied refused reset rejected failed lost closed log login sign authentication subscription registration invalid missing unknown unexpected internal oops sorry whoops uh "
+    "something nothing session traceback file exception at nicht verweigert abgelaufen introuvable refusé indisponible disponible se está denegado sesión click tap double press replace insert add write type enter paste put your sample example dummy "
+    "placeholder text goes tbd tba tbc todo to n asdf qwert xxx zzz foo bar baz blah bla test abc try check come go return get if contact incident reference ticket trace case support please loading wait bitte réessay veuillez inténtelo "
+    "beispieltext platzhaltertext blindtext mustertext texte texto http https you we don have has do an the page query download upload connection"
+).split()
+# Words of the list above that stand in most report messages too, so that a rule needs more than them.
+_PLAIN = frozenset("is no to at not an the has have do can if time type case under without get put return page to could did file log go come add check support found limit error you we at press request access file go sign".split())
+_CUE = r"\b(?:" + "|".join(sorted(set(CUES) - _PLAIN, key=len, reverse=True)) + r")|\b(?:error|found|request|file|go back|go to|get back|return to|check the|without (?:it|them|this)|did not|no longer|time-?out|under maintenance|is closed|access denied|could not|log ?in|sign[- ]?in|page )\b|[^\x00-\x7f]|^\(0\)$|^([a-z]{1,5})(?: \1)+$|^at "
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 
 
@@ -107,7 +116,7 @@ def message_kind(message: Column) -> Column:
     latin = F.regexp_count(message, F.lit(rf"\b(?:{'|'.join(LOREM.split())})\b"))
     title = (F.length(message) <= TITLE_LENGTH) & (words <= 9) & ~message.rlike(r"[.!?。！？।؟…]$")
     named = F.when(message.rlike(_any(SCRIPTS)), "script").when(message.rlike(_any(ERRORS)), "error").when(message.rlike(_any(FILLERS)), "filler").when(message.rlike(_any(HELPERS)), "helper")
-    return F.coalesce(F.when(message.rlike(CUES), named), F.when((words >= 3) & message.rlike(r"^[a-z .,]+$") & (latin >= words * 0.7), "filler"), F.when(title, "title"))
+    return F.coalesce(F.when(message.rlike(_CUE), named), F.when((words >= 3) & message.rlike(r"^[a-z .,]+$") & (latin >= words * 0.7), "filler"), F.when(title, "title"))
 
 
 def message_table(each: DataFrame) -> DataFrame:
