@@ -13,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.joins import lookup_join
 from factloom.plans.staging import Stage
 
+#: Tasks over which the rows of one hub, parent or root are spread where its side is too large to broadcast.
+SALTS = 16
+
 
 def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (group_id, member) for each record that occurs in a pair of two different records."""
@@ -30,25 +34,27 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         hooks = stage.cut(both.groupBy("c").agg(F.min("n").alias("n")), f"hooks{k}")
         back = hooks.select(F.col("c").alias("n"), F.col("n").alias("nn"))
         parent = F.when((F.col("nn") == F.col("c")) & (F.col("c") < F.col("n")), F.col("c")).otherwise(F.col("n"))
-        trees, depth = stage.cut(hooks.join(back, "n").select("c", parent.alias("p")), f"trees{k}_0"), 0
+        trees, depth = stage.cut(lookup_join(hooks, back, "n", "inner", salts=SALTS).select("c", parent.alias("p")), f"trees{k}_0"), 0
         while True:
             over = trees.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            doubled = stage.cut(trees.join(over, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), f"trees{k}_{depth + 1}")
+            doubled = stage.cut(lookup_join(trees, over, "p", "inner", salts=SALTS).select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), f"trees{k}_{depth + 1}")
             stage.drop(f"trees{k}_{depth}")
             trees, depth = doubled.select("c", "p"), depth + 1
             if doubled.where("moved").isEmpty():
                 break
         roots = trees.select(F.col("c").alias("root"), F.col("p").alias("next"))
+        old = labels
         if labels is None:
-            labels = trees.select(F.col("c").alias("member"), F.col("p").alias("root"))
+            moved = trees.select(F.col("c").alias("member"), F.col("p").alias("root"))
         else:
-            labels = stage.cut(labels.join(roots, "root", "left").select("member", F.coalesce("next", "root").alias("root")), f"labels{k}")
-            if k > 1:
-                stage.drop(f"labels{k - 1}")
-        u = edges.join(trees.select(F.col("c").alias("u"), F.col("p").alias("ru")), "u")
-        uv = u.join(trees.select(F.col("c").alias("v"), F.col("p").alias("rv")), "v").where("ru <> rv")
+            moved = lookup_join(labels, roots, "root", "left", salts=SALTS).select("member", F.coalesce("next", "root").alias("root"))
+        labels = stage.cut(moved, f"labels{k}")
+        if old is not None:
+            stage.drop(f"labels{k - 1}")
+        u = lookup_join(edges, trees.select(F.col("c").alias("u"), F.col("p").alias("ru")), "u", "inner", salts=SALTS)
+        uv = lookup_join(u, trees.select(F.col("c").alias("v"), F.col("p").alias("rv")), "v", "inner", salts=SALTS).where("ru <> rv")
         edges = stage.cut(uv.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), f"edges{k + 1}")
-        stage.drop(f"edges{k}", f"hooks{k}")
+        stage.drop(f"edges{k}", f"hooks{k}", f"trees{k}_{depth}")
         k += 1
     if labels is None:
         return edges.select(F.col("u").alias("group_id"), F.col("v").alias("member"))
