@@ -20,7 +20,7 @@ def document_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The moment of each fact that ``p4_found`` lists, with its posterior and whether the reading is resolved."""
+    """The moment of each fact without a normalised time, with its posterior and, where it is not resolved, the reason."""
     facts = table(spark, sf_dir, "facts").where("time_period_normalized is null and time_period is not null").select("id", "document_id", F.col("time_period").alias("text")).distinct()
     values = lookup_join(facts, document_categories(spark, sf_dir), "document_id", salts=SALTS).drop("document_id")
     conventions = table(spark, sf_dir, "publisher_conventions").select(F.col("dataset_category").alias("source"), "time_zone", "date_order")
@@ -29,32 +29,30 @@ def p4_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts without a normalised time whose text states a day or a moment."""
-    return p4_times(spark, sf_dir).select("id", "moment")
+    return p4_times(spark, sf_dir).where("moment is not null").select("id", "moment").distinct()
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = ~F.col("value_raw").rlike(r"[\p{L}\p{Sc}%‰]")
-    facts = table(spark, sf_dir, "facts").where("value_raw is not null").select(
+    facts = table(spark, sf_dir, "facts").select(
         "id", "document_id", "value_raw", "unit", "value_numeric", F.when(bare, F.col("evidence_quote")).alias("evidence_quote")
     )
-    marks = lookup_join(document_categories(spark, sf_dir), table(spark, sf_dir, "publisher_conventions").select(F.col("dataset_category").alias("source"), "decimal_mark"), "source").select("document_id", "decimal_mark")
-    values = lookup_join(facts, marks, "document_id", salts=SALTS)
+    placed = lookup_join(facts, document_categories(spark, sf_dir), "document_id", salts=SALTS)
+    values = lookup_join(placed, table(spark, sf_dir, "publisher_conventions").select(F.col("dataset_category").alias("source"), "decimal_mark"), "source", salts=SALTS)
     # a table of one row for each of the families, whose number is fixed
     targets = {r["unit_family"]: r["common_unit"] for r in table(spark, sf_dir, "common_units").collect()}
-    packed = values.withColumn("id", F.to_json(F.struct("id", F.col("value_numeric").alias("v"))))
-    got = to_common_units(packed, targets)
-    return got.withColumn("was", F.from_json("id", "id string, v double")).select(F.col("was.id").alias("id"), F.col("was.v").alias("value_numeric"), "unit_family", "common_unit", "quantity", "value_common")
+    return to_common_units(values, targets, ["id", "value_raw", "value_numeric"])
 
 
 def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value of ``facts`` in the common unit, beside what the table holds."""
+    """Every value of ``facts`` in the common unit beside what the table holds, or the reason why there is none."""
     return _values(spark, sf_dir).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts whose number is missing or differs from the stated quantity in the common unit by more than a thousandth."""
     wrong = F.col("value_numeric").isNull() | F.isnan("value_numeric") | (F.abs(F.col("value_numeric") - F.col("quantity")) > F.abs(F.col("quantity")) * 0.001)
-    return _values(spark, sf_dir).where(wrong).select("id", "common_unit", "value_common").distinct()
+    return _values(spark, sf_dir).where("value_common is not null").where(wrong).select("id", "common_unit", "value_common").distinct()
 
 
 QUERIES = {"p4_found": p4_found, "p4_times": p4_times, "p6_found": p6_found, "p6_values": p6_values}
