@@ -12,8 +12,11 @@ from pyspark.sql import Window
 from factloom.functions import normalise as N
 from factloom.functions.vocabulary import CURRENCIES, FAMILIES, LEGAL_FORMS, MAGNITUDES, MONTHS, NO_UNITS, STOPWORDS, SYMBOLS, UNIT_WORDS
 from factloom.operators import compare as C
+from factloom.operators import extract as X
 from factloom.operators import pages as P
+from factloom.operators.profile import profile_documents
 from factloom.plans.joins import lookup_join
+from factloom.plans.staging import Stage
 from factloom.sources.tables import table
 
 TOP, PAGE, MAX_ISSUES, SHOWN_ISSUES, SHOWCASE, WEAK = 6, 100, 200, 50, 60, 0.6
@@ -785,3 +788,96 @@ def relationship_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact as a JSON object."""
     return _facts(spark, sf_dir, *_LISTED[1:]).select("id", F.to_json(F.struct(*_LISTED)).alias("json"))
+
+
+# ---- extraction
+
+
+@query(f"""SELECT id FROM (SELECT id, list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines, text FROM {_CLEAN_DOCS}),
+    (SELECT '(?i)(\\.{{3,}}|…{{2,}}|_{{3,}}|-{{4,}})\\s*([ivxlcdm]+|\\d+)\\s*$' AS leader)
+    WHERE len(trim(text)) >= 20 AND (len(list_filter(lines, lambda x: regexp_matches(x, leader))) >= 3 OR (len(list_filter(lines[1:6], lambda x: regexp_full_match(lower(x),
+    '(table\\s+of\\s+contents|contents|index(\\s+of\\s+[\\w\\s]+)?|list\\s+of\\s+(tables|figures|boxes|charts|illustrations|exhibits|appendices|abbreviations)|appendix\\s+tables|brief\\s+contents)\\s*'))) > 0
+    AND (len(lines) <= 50 OR len(list_filter(lines, lambda x: regexp_matches(x, leader))) >= 1)))""")
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that list contents."""
+    return _stored_pages(spark, sf_dir).where(X.is_contents(F.col("text"))).select("id")
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and issues of all stored pages; what the kernel read is written once for both."""
+    stage = Stage(spark, "extract")
+    pages = stage.cut(P.canonical_pages(_stored_pages(spark, sf_dir)), "pages")
+    profiles = stage.cut(profile_documents(pages, _documents(spark, sf_dir).groupBy(F.col("id").alias("document_id")).agg(F.max("title").alias("title"))), "profiles")
+    facts, issues = X.facts_and_issues(stage.cut(X.read_pages(pages, profiles), "read"))
+    return facts, issues.unionByName(X.contents_issues(pages))
+
+
+@query()
+def facts_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts read off all stored pages."""
+    return _read(spark, sf_dir)[0]
+
+
+@query()
+def extraction_issues_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates on all stored pages that became no facts, by reason."""
+    return _read(spark, sf_dir)[1].groupBy("reason_code", "is_routine_filter").agg(F.count("*").alias("n"))
+
+
+@query()
+def facts_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted facts whose quote is not in its page at its offsets; there are none."""
+    stage = Stage(spark, "grounded")
+    pages = stage.cut(P.canonical_pages(_stored_pages(spark, sf_dir)), "pages")
+    facts, _ = X.facts_and_issues(X.read_pages(pages, profile_documents(pages)))
+    texts = pages.select("document_id", F.col("page_number").alias("evidence_page"), F.col("text").alias("_text"))
+    at = F.substring(F.col("_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return facts.join(texts, ["document_id", "evidence_page"]).groupBy("id", "char_start", "char_end").agg(F.max(at == F.col("evidence_quote")).alias("ok")).where("not ok")
+
+
+@query()
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject, period, threshold and acronyms of every document."""
+    return profile_documents(P.canonical_pages(_stored_pages(spark, sf_dir)), _documents(spark, sf_dir).groupBy(F.col("id").alias("document_id")).agg(F.max("title").alias("title")))
+
+
+_SUMS = "(SELECT r_name, year(o_orderdate) AS y, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"
+
+
+@query(f"""SELECT r_name AS document_id, y::INT AS evidence_page, 'order_revenue' AS predicate, 'USD' AS unit, ((cents + 5000000)::BIGINT // 10000000) * 100000.0 AS value_numeric, y::VARCHAR AS time_period_normalized, 0.86::DOUBLE AS confidence FROM {_SUMS}
+    UNION ALL SELECT r_name, y::INT, 'average_order_backlog', 'days', ((cents // 100) % 90 + 1)::DOUBLE, y::VARCHAR, 0.86::DOUBLE FROM {_SUMS}""")
+def facts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts read off reports that are written from the order tables, one page a year."""
+    t = lambda n: table(spark, sf_dir, n)
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents")
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sums = joined.groupBy(F.col("r_name").alias("document_id"), F.year("o_orderdate").alias("page_number")).agg(cents)
+    tenths, days = F.expr("(cents + 5000000) div 10000000"), F.expr("(cents div 100) % 90 + 1")
+    text = F.concat(
+        F.lit("Order revenue reached USD "), F.expr("cast(((cents + 5000000) div 10000000) div 10 as string)"), F.lit("."), (tenths % 10).cast("string"), F.lit(" million in "), F.col("page_number").cast("string"), F.lit(".\nSee section 4 on page 17 for details.\nAverage order backlog stood at "),
+        days.cast("string"), F.lit(" days in "), F.col("page_number").cast("string"), F.lit("."),
+    )
+    pages = sums.select("document_id", "page_number", text.alias("text"))
+    subject = pages.select("document_id").distinct().select("document_id", F.col("document_id").alias("default_subject"), F.lit(None).cast("string").alias("default_period"), F.lit(3).alias("subject_threshold"), F.expr("cast(map() as map<string,string>)").alias("acronyms"), F.expr("cast(map() as map<string,int>)").alias("subject_counts"))
+    facts, _ = X.facts_and_issues(X.read_pages(pages, subject))
+    return facts.select("document_id", "evidence_page", "predicate", "unit", "value_numeric", "time_period_normalized", "confidence")
+
+
+@query()
+def proposals_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored quotes taken as proposals, each with its span in its page or the reason why it is none."""
+    proposals = _facts(spark, sf_dir, "document_id", F.col("evidence_page").alias("page_number"), F.col("evidence_quote").alias("quote"))
+    return X.grounded_proposals(proposals, _stored_pages(spark, sf_dir)).select("id", "char_start", "char_end", "reason")
+
+
+# What the rules are known not to do.
+_LIMITS = [
+    ("scanned pages", "pages without a text layer give no facts"), ("tables", "a cell is read with the caption of its line or a neighbour, not by row and column heads"), ("currencies", "there are no exchange rates, so amounts in two currencies are never compared"),
+    ("languages", "the words between a metric and its value are English"), ("inferred periods", "a period taken from the document never supports a conflict"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LIMITS) + ") t(area, detail)")
+def known_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules are known not to do."""
+    return spark.createDataFrame(_LIMITS, "area string, detail string")
