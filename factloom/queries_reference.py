@@ -505,7 +505,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERDICT_KINDS = ("CORROBORATED", "CONTRADICTED", "CONTEXTUALLY_DIFFERENT")
 _POINTS = "CASE WHEN a.id IS NULL OR b.id IS NULL THEN -1 ELSE (a.value_raw IS DISTINCT FROM b.value_raw)::INT + coalesce(a.time_period <> '' AND b.time_period <> '', false)::INT + coalesce(r.f.predicate_match_basis = 'exact', false)::INT + 2 * (coalesce(r.f.qualifier_divergence, false) OR coalesce(r.f.qualifier_one_sided, false))::INT + 2 * coalesce(r.f.scope_divergence, false)::INT + (a.document_id IS DISTINCT FROM b.document_id)::INT END"
 _BEST = f"""
-    SELECT relationship_type, id, points, confidence, alternatives FROM (SELECT r.relationship_type, r.id, {_POINTS} AS points, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 0.0 ELSE r.confidence END AS weight, r.confidence, r.alternatives
+    SELECT relationship_type, id, points, confidence, alternatives, f FROM (SELECT r.relationship_type, r.id, r.f, {_POINTS} AS points, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 0.0 ELSE r.confidence END AS weight, r.confidence, r.alternatives
         FROM (SELECT *, count(*) OVER (PARTITION BY relationship_type) AS alternatives FROM {_R} WHERE relationship_type IN {_list(_VERDICT_KINDS)} QUALIFY row_number() OVER (PARTITION BY relationship_type ORDER BY confidence DESC NULLS LAST, id) <= 60) r
         LEFT JOIN {_F} a ON a.id = r.fact_a_id LEFT JOIN {_F} b ON b.id = r.fact_b_id)
     QUALIFY row_number() OVER (PARTITION BY relationship_type ORDER BY points DESC, weight DESC NULLS LAST, id) = 1"""
@@ -535,13 +535,13 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_join(first, sizes, "relationship_type")
 
 
-@query(_BEST)
+@query(f"SELECT * EXCLUDE (f) FROM ({_BEST})")
 def best_case_per_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clearest stored example of each verdict, and how many there are."""
     return _best(spark, sf_dir).select("relationship_type", "id", "points", "confidence", "alternatives")
 
 
-@query(f"""SELECT c.relationship_type, x.label, x.value FROM (SELECT b.relationship_type, r.f AS f FROM ({_BEST}) b JOIN {_R} r ON r.id = b.id) c, unnest([
+@query(f"""SELECT c.relationship_type, x.label, x.value FROM ({_BEST}) c, unnest([
     {{'label': 'Metric names', 'value': CASE f.predicate_match_basis WHEN 'exact' THEN 'identical' WHEN 'phrase' THEN 'overlap ' || round_even(coalesce(f.predicate_word_overlap, 0) * 100, 0)::INT || '%' WHEN 'head' THEN 'same head noun only' ELSE 'matched' END}},
     {{'label': 'Units', 'value': coalesce(nullif(f.unit_a, ''), 'none') || ' and ' || coalesce(nullif(f.unit_b, ''), 'none') || CASE WHEN coalesce(f.units_comparable, true) THEN '' ELSE ', not comparable' END}},
     {{'label': 'Values agree', 'value': CASE WHEN f.values_match THEN 'yes' ELSE 'no' END}}, {{'label': 'Same period', 'value': CASE WHEN f.temporal_match THEN 'yes' ELSE 'no' END}},
@@ -844,7 +844,7 @@ def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMS = "(SELECT r_name, year(o_orderdate) AS y, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"
 
 
-@query(f"""SELECT r_name AS document_id, y::INT AS evidence_page, 'order_revenue' AS predicate, 'USD' AS unit, ((cents + 5000000)::BIGINT // 10000000) * 100000.0 AS value_numeric, y::VARCHAR AS time_period_normalized, 0.86::DOUBLE AS confidence FROM {_SUMS}
+@query(f"""SELECT r_name AS document_id, y::INT AS evidence_page, 'order_revenue' AS predicate, 'USD' AS unit, (((cents + 5000000)::BIGINT // 10000000) / 10::DOUBLE) * 1e6::DOUBLE AS value_numeric, y::VARCHAR AS time_period_normalized, 0.86::DOUBLE AS confidence FROM {_SUMS}
     UNION ALL SELECT r_name, y::INT, 'average_order_backlog', 'days', ((cents // 100) % 90 + 1)::DOUBLE, y::VARCHAR, 0.86::DOUBLE FROM {_SUMS}""")
 def facts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts read off reports that are written from the order tables, one page a year."""
