@@ -70,7 +70,7 @@ FILLERS = [
     rf"(?:{_SHORT})*(?:{_ASKS})?",
     r"(?:tbd|tba|tbc|todo|to be (?:determined|completed|added|confirmed)|n/a)[.!]?(?: (?:tbd|tba|tbc|todo)[.!]?)*",
     r".*(?:beispieltext|platzhaltertext|blindtext|mustertext).{0,20}", r".*(?:texte? d['’]exemple|texte de remplacement|texte à remplacer).{0,20}", r".*(?:texto de (?:ejemplo|muestra|relleno|prueba)).{0,20}", r"(?:示例文本|在此输入文本|占位文本|请在此输入).{0,12}", r"(?:サンプルテキスト|ここにテキスト|ダミーテキスト).{0,16}", r"(?:نص تجريبي|نص نموذجي|أدخل النص هنا).{0,16}", r"(?:नमूना पाठ|उदाहरण पाठ|यहाँ पाठ लिखें).{0,16}", r"(?:ข้อความตัวอย่าง|ใส่ข้อความที่นี่).{0,16}",
-    r"([a-z]{1,5})(?: \1){1,}", r"(?:asdf|qwerty|qwertz|xxx+|zzz+|foo|bar|baz|blah|bla|test|testing|abc)(?: (?:asdf|qwerty|qwertz|xxx+|zzz+|foo|bar|baz|blah|bla|test|testing|abc))*[.!]?",
+    r"([a-z]{1,5})(?: \1){1,}", r"(?:asdf|qwerty|qwertz|xxx+|zzz+|text|foo|bar|baz|blah|bla|test|testing|abc)(?: (?:asdf|qwerty|qwertz|xxx+|zzz+|text|foo|bar|baz|blah|bla|test|testing|abc))*[.!]?",
 ]
 HELPERS = [
     r"(?:please )?(?:try|check|come) (?:again|back)\b.*", r"(?:go|return|get) (?:back )?to the\b.*", r"(?:please )?check the (?:address|link|url|spelling)\b.*", r"if (?:the|this) (?:problem|error|issue) (?:persists|continues)\b.*", r"(?:please )?contact (?:the|your|our)? ?(?:system )?(?:support|administrator|help ?desk|site owner)\b.*", r"(?:incident|reference|request|error|ticket|trace|case|support)(?: (?:id|code|number|no))?[ :#]*[0x-]+[0a-f-]*\.?",
@@ -80,13 +80,15 @@ HELPERS = [
 CUES = (
     "script java noscript js cookies browser without found gateway server unavailable time timed forbidden unauthori bad request too gone moved not precondition error fehler erreur expired limit blocked logged signed could cannot can couldn "
     "did didn returned is no temporarily currently under corrupt permission access denied refused reset rejected failed lost closed log login sign authentication subscription registration invalid missing unknown unexpected internal oops sorry whoops uh "
-    "something nothing session traceback file exception at nicht verweigert abgelaufen introuvable refusé indisponible disponible se está denegado sesión click tap double press replace insert add write type enter paste put your sample example dummy "
-    "placeholder text goes tbd tba tbc todo to n asdf qwert xxx zzz foo bar baz blah bla test abc try check come go return get if contact incident reference ticket trace case support please loading wait bitte réessay veuillez inténtelo "
+    "something nothing session traceback file exception at nicht verweigert abgelaufen introuvable refusé indisponible disponible está denegado sesión click tap double press replace insert add write type enter paste put your sample example dummy "
+    "placeholder goes tbd tba tbc todo to asdf qwert xxx zzz blah test try check come go return get if contact incident reference ticket trace case support please loading wait bitte réessay veuillez inténtelo "
     "beispieltext platzhaltertext blindtext mustertext texte texto http https you we don have has do an the page query download upload connection"
 ).split()
 # Words of the list above that stand in most report messages too, so that a rule needs more than them.
 _PLAIN = frozenset("is no to at not an the has have do can if time type case under without get put return page to could did file log go come add check support found limit error you we at press request access file go sign".split())
-_CUE = r"\b(?:" + "|".join(sorted(set(CUES) - _PLAIN, key=len, reverse=True)) + r")|\b(?:error|found|request|file|go back|go to|get back|return to|check the|without (?:it|them|this)|did not|no longer|time-?out|under maintenance|is closed|access denied|could not|log ?in|sign[- ]?in|page )\b|[^\x00-\x7f]|^\(0\)$|^([a-z]{1,5})(?: \1)+$|^at "
+# The same for other scripts.
+_OTHER = "错误|找不|不存在|无法|拒绝|不可用|会话|启用|开启|啟用|请|示例|输入|占位|ページ|アクセス|サービス|セッション|サンプル|ここに|ダミー|後で|しばらく|もう一度|エラー|الصفحة|رفض|الخدمة|انتهت|تفعيل|تمكين|تشغيل|نص |أدخل|يرجى|حاول|خطأ|नहीं मिला|अस्वीकृत|उपलब्ध|समाप्त|चालू|सक्षम|सक्रिय|नमूना|उदाहरण|यहाँ|कृपया|ไม่พบ|ปฏิเสธ|ไม่สามารถ|หมดอายุ|เปิดใช้|ข้อความ|กรุณา|โปรด"
+_CUE = r"\b(?:" + "|".join(sorted(set(CUES) - _PLAIN, key=len, reverse=True)) + r")|\b(?:error|found|request|file|n/a|no se|text|foo|bar|baz|bla|abc|go back|go to|get back|return to|check the|without (?:it|them|this)|did not|no longer|time-?out|under maintenance|is closed|access denied|could not|log ?in|sign[- ]?in|page)\b|^\(0\)$|^([a-z]{1,5})(?: \1)+$|^at "
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 
 
@@ -116,7 +118,7 @@ def message_kind(message: Column) -> Column:
     latin = F.regexp_count(message, F.lit(rf"\b(?:{'|'.join(LOREM.split())})\b"))
     title = (F.length(message) <= TITLE_LENGTH) & (words <= 9) & ~message.rlike(r"[.!?。！？।؟…]$")
     named = F.when(message.rlike(_any(SCRIPTS)), "script").when(message.rlike(_any(ERRORS)), "error").when(message.rlike(_any(FILLERS)), "filler").when(message.rlike(_any(HELPERS)), "helper")
-    return F.coalesce(F.when(message.rlike(_CUE), named), F.when((words >= 3) & message.rlike(r"^[a-z .,]+$") & (latin >= words * 0.7), "filler"), F.when(title, "title"))
+    return F.coalesce(F.when(message.rlike(_CUE) | (message.rlike(r"[^\x00-\x7f]") & message.rlike(_OTHER)), named), F.when((words >= 3) & message.rlike(r"^[a-z .,]+$") & (latin >= words * 0.7), "filler"), F.when(title, "title"))
 
 
 def message_table(each: DataFrame) -> DataFrame:
