@@ -158,3 +158,25 @@ QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pages": p2_pages, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_found": p8_found, "p8_containers": p8_containers,
     "p8_unused": p8_unused, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_residue": p10_residue, "p10_kept": p10_kept,
 }
+
+_LINKS = """WITH RECURSIVE known AS (SELECT DISTINCT id FROM facts WHERE id IS NOT NULL),
+    pairs AS (SELECT DISTINCT fact_a_id AS a, fact_b_id AS b FROM fact_relationships WHERE upper(regexp_replace(relationship_type, '^\\s+|\\s+$', '', 'g')) = 'CORROBORATED'
+              AND fact_a_id <> fact_b_id AND fact_a_id IN (SELECT id FROM known) AND fact_b_id IN (SELECT id FROM known)),
+    steps AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    reach(x, y) AS (SELECT a, b FROM steps UNION SELECT r.x, s.b FROM reach r JOIN steps s ON r.y = s.a),
+    grouped AS (SELECT least(x, min(y)) AS group_id, x AS fact_id FROM reach GROUP BY x)"""
+_LINES = """WITH once AS (SELECT DISTINCT id, document_id, text FROM document_pages WHERE id IS NOT NULL),
+    lines AS (SELECT id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM once WHERE text IS NOT NULL AND document_id IS NOT NULL),
+    spelled AS (SELECT *, lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')) AS letters FROM lines),
+    sizes AS (SELECT document_id, count(*) AS pages FROM once GROUP BY 1),
+    wide AS (SELECT s.document_id, letters FROM spelled s JOIN sizes z USING (document_id) WHERE len(letters) >= 15 GROUP BY s.document_id, letters, z.pages HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= z.pages * 0.05),
+    found AS (SELECT id, line_no FROM spelled SEMI JOIN wide USING (document_id, letters))"""
+ORACLE = {
+    "p1_found": f"{_LINKS} SELECT group_id, fact_id FROM grouped",
+    "p1_groups": f"{_LINKS} SELECT coalesce(group_id, id) AS group_id, id AS fact_id FROM known LEFT JOIN grouped ON fact_id = id",
+    # the same by bytes as by any usual tokenizer, whose tokens have about four of them
+    "p8_found": "SELECT container_kind, doc_id FROM documents, container_kinds WHERE doc_id IS NOT NULL AND strlen(text) > 4 * capacity_tokens",
+    "p9_found": """SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(strlen(text)) AS has FROM documents GROUP BY 1) s USING (source)
+        WHERE coalesce(has, 0) * max_repeats < target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p3_found": f"{_LINES} SELECT id, line_no::INT AS line_no FROM found",
+}
