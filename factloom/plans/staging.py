@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    """One folder for a process whose session names none; used on a local master only."""
+    return tempfile.mkdtemp(prefix="factloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset and the master is local."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
+    """``spark.checkpoint.dir`` of the session or, where that is unset, of its context; a temporary folder on a local master only."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if at:
         return at
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = tempfile.mkdtemp(prefix="factloom-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return _local_dir()
 
 
 class Stage:

@@ -44,6 +44,11 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "fact_relationships").where("id is not null").select("id", "fact_a_id", "fact_b_id", "relationship_type", "comparison_summary", "confidence", F.col("reconciliation_factors").alias("f")).distinct()
 
 
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships without the wide columns."""
+    return table(spark, sf_dir, "fact_relationships").where("id is not null").select("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence").distinct()
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_documents").where("id is not null").distinct()
 
@@ -57,6 +62,7 @@ def _case(key: str, values: dict) -> str:
 
 
 _F = "(SELECT DISTINCT id, document_id, subject, subject_normalized, predicate, predicate_label, value_raw, value_text, value_numeric, unit, unit_family, time_period, time_period_normalized, scope, qualifier, confidence, evidence_quote, evidence_page, char_start, char_end, coalesce(extraction_metadata.period_inferred_from_document, false) AS inferred FROM facts WHERE id IS NOT NULL)"
+_E = "(SELECT DISTINCT id, fact_a_id, fact_b_id, relationship_type, confidence FROM fact_relationships WHERE id IS NOT NULL)"
 _R = "(SELECT DISTINCT id, fact_a_id, fact_b_id, relationship_type, comparison_summary, confidence, reconciliation_factors AS f FROM fact_relationships WHERE id IS NOT NULL)"
 
 
@@ -392,36 +398,36 @@ for _sort, (_column, _up) in ORDERS.items():
 
 
 @query(f"""SELECT f.id, count(DISTINCT r.id) AS relationships, any_value(p.document_id) IS NOT NULL AS page_available FROM {_F} f
-    LEFT JOIN (SELECT id, fact_a_id AS fact FROM {_R} UNION SELECT id, fact_b_id FROM {_R}) r ON r.fact = f.id
+    LEFT JOIN (SELECT id, fact_a_id AS fact FROM {_E} UNION SELECT id, fact_b_id FROM {_E}) r ON r.fact = f.id
     LEFT JOIN (SELECT DISTINCT document_id, page_number FROM document_pages) p ON p.document_id = f.document_id AND p.page_number = f.evidence_page GROUP BY f.id""")
 def fact_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact with the number of its relationships and whether its page is stored."""
     facts = _facts(spark, sf_dir, "document_id", F.col("evidence_page").alias("page_number"))
-    links = _links(spark, sf_dir)
+    links = _ends(spark, sf_dir)
     ends = links.select("id", F.col("fact_a_id").alias("fact")).union(links.select("id", F.col("fact_b_id").alias("fact"))).distinct().groupBy(F.col("fact").alias("id")).agg(F.count("*").alias("relationships"))
     pages = table(spark, sf_dir, "document_pages").select("document_id", "page_number", F.lit(True).alias("_page")).distinct()
     out = facts.join(ends, "id", "left").join(pages, ["document_id", "page_number"], "left")
     return out.select("id", F.coalesce("relationships", F.lit(0).cast("long")).alias("relationships"), F.coalesce("_page", F.lit(False)).alias("page_available"))
 
 
-@query(f"SELECT id, relationship_type, confidence FROM {_R} WHERE relationship_type = 'CONTRADICTED' AND confidence >= 0.7 ORDER BY confidence DESC, id LIMIT 50")
+@query(f"SELECT id, relationship_type, confidence FROM {_E} WHERE relationship_type = 'CONTRADICTED' AND confidence >= 0.7 ORDER BY confidence DESC, id LIMIT 50")
 def relationships_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of relationships of one kind above a confidence, surest first."""
-    return _links(spark, sf_dir).where((F.col("relationship_type") == "contradicted".upper()) & (F.col("confidence") >= 0.7)).orderBy(F.desc("confidence"), "id").limit(50).select("id", "relationship_type", "confidence")
+    return _ends(spark, sf_dir).where((F.col("relationship_type") == "contradicted".upper()) & (F.col("confidence") >= 0.7)).orderBy(F.desc("confidence"), "id").limit(50).select("id", "relationship_type", "confidence")
 
 
-@query(f"SELECT relationship_type, count(*) AS n FROM {_R} GROUP BY 1")
+@query(f"SELECT relationship_type, count(*) AS n FROM {_E} GROUP BY 1")
 def relationship_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored relationships by kind, as written."""
-    return _links(spark, sf_dir).groupBy("relationship_type").agg(F.count("*").alias("n"))
+    return _ends(spark, sf_dir).groupBy("relationship_type").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT r.id, r.relationship_type, a.value_raw AS value_a, b.value_raw AS value_b, a.document_id AS document_a, b.document_id AS document_b FROM {_R} r LEFT JOIN {_F} a ON r.fact_a_id = a.id LEFT JOIN {_F} b ON r.fact_b_id = b.id")
+@query(f"SELECT r.id, r.relationship_type, a.value_raw AS value_a, b.value_raw AS value_b, a.document_id AS document_a, b.document_id AS document_b FROM {_E} r LEFT JOIN {_F} a ON r.fact_a_id = a.id LEFT JOIN {_F} b ON r.fact_b_id = b.id")
 def relationships_with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored relationship with both of its facts, null where one is not stored."""
     facts = _facts(spark, sf_dir, "value_raw", "document_id")
     side = lambda s: facts.select(F.col("id").alias(f"fact_{s}_id"), F.col("value_raw").alias(f"value_{s}"), F.col("document_id").alias(f"document_{s}"))
-    out = _links(spark, sf_dir).join(side("a"), "fact_a_id", "left").join(side("b"), "fact_b_id", "left")
+    out = _ends(spark, sf_dir).join(side("a"), "fact_a_id", "left").join(side("b"), "fact_b_id", "left")
     return out.select("id", "relationship_type", "value_a", "value_b", "document_a", "document_b")
 
 
@@ -473,23 +479,23 @@ def delete_document(document_id: DataFrame, facts: DataFrame, pages: DataFrame,
 
 
 @query(f"""SELECT 'facts' AS what, count(*) AS n FROM {_F} WHERE document_id IS DISTINCT FROM {_GONE} UNION ALL SELECT 'pages', count(*) FROM (SELECT DISTINCT id FROM document_pages WHERE document_id IS DISTINCT FROM {_GONE})
-    UNION ALL SELECT 'issues', count(*) FROM {_I} WHERE document_id IS DISTINCT FROM {_GONE} UNION ALL SELECT 'links', count(*) FROM {_R} WHERE coalesce(fact_a_id NOT IN (SELECT id FROM {_F} WHERE document_id = {_GONE}), true) AND coalesce(fact_b_id NOT IN (SELECT id FROM {_F} WHERE document_id = {_GONE}), true)""")
+    UNION ALL SELECT 'issues', count(*) FROM {_I} WHERE document_id IS DISTINCT FROM {_GONE} UNION ALL SELECT 'links', count(*) FROM {_E} WHERE coalesce(fact_a_id NOT IN (SELECT id FROM {_F} WHERE document_id = {_GONE}), true) AND coalesce(fact_b_id NOT IN (SELECT id FROM {_F} WHERE document_id = {_GONE}), true)""")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that stay in each table when the first processed document is deleted."""
     gone = table(spark, sf_dir, "source_documents").where("status = 'processed'").agg(F.min("id").alias("document_id"))
     pages = table(spark, sf_dir, "document_pages").select("id", "document_id").distinct()
-    left = delete_document(gone, _facts(spark, sf_dir, "document_id"), pages, _issues(spark, sf_dir), _links(spark, sf_dir))
+    left = delete_document(gone, _facts(spark, sf_dir, "document_id"), pages, _issues(spark, sf_dir), _ends(spark, sf_dir))
     counts = [t.agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n") for n, t in left.items()]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_D}) AS documents, (SELECT coalesce(sum(pages_processed), 0)::BIGINT FROM {_D}) AS pages, count(*) AS facts, count(DISTINCT predicate) AS distinct_metrics,
-    (SELECT count(*) FROM {_R}) AS relationships, round(coalesce(avg(confidence), 0), 3) AS mean_fact_confidence, (SELECT count(*) FROM {_I} WHERE is_routine_filter = false) AS rejected_candidates FROM {_F}""")
+    (SELECT count(*) FROM {_E}) AS relationships, round(coalesce(avg(confidence), 0), 3) AS mean_fact_confidence, (SELECT count(*) FROM {_I} WHERE is_routine_filter = false) AS rejected_candidates FROM {_F}""")
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the store in one row."""
     facts = _facts(spark, sf_dir, "predicate", "confidence").agg(F.count("*").alias("facts"), F.countDistinct("predicate").alias("distinct_metrics"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("mean_fact_confidence"))
     documents = _documents(spark, sf_dir).agg(F.count("*").alias("documents"), F.coalesce(F.sum("pages_processed"), F.lit(0).cast("long")).alias("pages"))
-    links = _links(spark, sf_dir).agg(F.count("*").alias("relationships"))
+    links = _ends(spark, sf_dir).agg(F.count("*").alias("relationships"))
     issues = _issues(spark, sf_dir).where("is_routine_filter = false").agg(F.count("*").alias("rejected_candidates"))
     return documents.crossJoin(F.broadcast(facts)).crossJoin(F.broadcast(links)).crossJoin(F.broadcast(issues))  # one row each
 
@@ -674,10 +680,10 @@ def shown_facts_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.groupBy("document_id", "evidence_page").agg(F.count("*").alias("facts"))
 
 
-@query(f"SELECT sum(n)::BIGINT AS total, max(n) AS largest FROM (SELECT relationship_type, count(*) AS n FROM {_R} GROUP BY 1)")
+@query(f"SELECT sum(n)::BIGINT AS total, max(n) AS largest FROM (SELECT relationship_type, count(*) AS n FROM {_E} GROUP BY 1)")
 def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All relationships and the largest kind, for the scale of a chart."""
-    return _links(spark, sf_dir).groupBy("relationship_type").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    return _ends(spark, sf_dir).groupBy("relationship_type").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
 
 
 # Labels that compare and say nothing of what, and those that are notes.
@@ -777,10 +783,10 @@ def issue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where(F.col("_n") <= MAX_ISSUES).groupBy("document_id").agg(F.count("*").alias("stored"))
 
 
-@query(f"SELECT DISTINCT 'rel_' || left(sha1(least(fact_a_id, fact_b_id) || '|' || greatest(fact_a_id, fact_b_id)), 20) AS id, least(fact_a_id, fact_b_id) AS a, greatest(fact_a_id, fact_b_id) AS b FROM {_R} WHERE fact_a_id IS NOT NULL AND fact_b_id IS NOT NULL")
+@query(f"SELECT DISTINCT 'rel_' || left(sha1(least(fact_a_id, fact_b_id) || '|' || greatest(fact_a_id, fact_b_id)), 20) AS id, least(fact_a_id, fact_b_id) AS a, greatest(fact_a_id, fact_b_id) AS b FROM {_E} WHERE fact_a_id IS NOT NULL AND fact_b_id IS NOT NULL")
 def relationship_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One id for each pair of facts, in whichever order and however often it was stored."""
-    pairs = _links(spark, sf_dir).where("fact_a_id is not null and fact_b_id is not null").select(F.least("fact_a_id", "fact_b_id").alias("a"), F.greatest("fact_a_id", "fact_b_id").alias("b")).distinct()
+    pairs = _ends(spark, sf_dir).where("fact_a_id is not null and fact_b_id is not null").select(F.least("fact_a_id", "fact_b_id").alias("a"), F.greatest("fact_a_id", "fact_b_id").alias("b")).distinct()
     return pairs.select(C.relationship_id(F.col("a"), F.col("b")).alias("id"), "a", "b")
 
 
