@@ -7,6 +7,7 @@ import os
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +30,20 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=8)
+def _shipped(path: str, application: str) -> str:
+    """The name under which executors get a vocabulary file of the driver, sent once an application."""
+    SparkContext.getOrCreate().addFile(path)
+    return os.path.basename(path)
+
+
 def token_count(text: Column | str, path: str | None = None) -> Column:
-    """Tokens of a text; null for null, 0 for the empty text."""
-    at = vocabulary(path)
+    """Tokens of a text; null for null, 0 for the empty text.  The vocabulary goes to the executors as a file."""
+    name = _shipped(vocabulary(path), SparkContext.getOrCreate().applicationId)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoder(at)
+        enc = encoder(SparkFiles.get(name))
         return pd.Series([None if t is None else len(enc.encode_ordinary(t)) for t in texts], dtype="Int32")
 
     return count(text)
