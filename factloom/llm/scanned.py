@@ -158,7 +158,7 @@ def _tokens(text: str) -> Iterator[tuple[int, int, str, str, bool, bool, bool]]:
         caps = [t.lstrip(_STRIP)[:1].isupper() for t in raw]
         opens = opens or titled
         titled = all(c or len(t) <= 3 for c, t in zip(caps, raw)) or (line_no <= 3 and "|" in line)
-        shouted = sum(c.isupper() for c in line) > sum(c.islower() for c in line)
+        shouted = line.isupper()
         for i, t in enumerate(raw):
             written = t.strip(_STRIP)
             # a bracket, or a misread c
@@ -176,13 +176,14 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n, caps, inner = Counter(), Counter(), Counter()
         for text in pdf["text"]:
-            for _, _, form, written, capital, opens, named in _tokens(text):
-                if any(c.isalpha() for c in form) and len(form) <= 40:
-                    n[form] += 1
-                    if not opens:
-                        inner[form] += 1
-                        caps[form] += capital
-        yield pd.DataFrame({"form": list(n), "n": [int(v) for v in n.values()], "inner": [int(inner[k]) for k in n], "capitals": [int(caps[k]) for k in n]})
+            for _, _, form, _, capital, opens, _ in _tokens(text):
+                n[form] += 1
+                if not opens:
+                    inner[form] += 1
+                    if capital:
+                        caps[form] += 1
+        kept = [k for k in n if len(k) <= 40 and any(c.isalpha() for c in k)]
+        yield pd.DataFrame({"form": kept, "n": [n[k] for k in kept], "inner": [inner[k] for k in kept], "capitals": [caps[k] for k in kept]})
 
 
 def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +329,8 @@ class Repair:
         first = self.stage.cut(first.withColumn("keys", _prefixes(F.col("line"))), "first")
         each = first.select("document_id", F.explode("keys").alias("part")).groupBy("document_id", "part").agg(F.count("*").alias("on"))
         sizes = self.pages.groupBy("document_id").agg(F.count("*").alias("of"))
-        inside = lines.where("_pos > 3").select("document_id", F.explode(_prefixes(F.col("line"))).alias("part")).where(F.length("part") <= 80).groupBy("document_id", "part").agg(F.count("*").alias("inner"))
+        # sentences are no heads, so only lines without their marks are counted further down a page
+        inside = lines.where((F.col("_pos") > 3) & (F.length("line") <= 120) & ~F.col("line").rlike(r"[.!?;,。！？।؟]\s*$|, |\. ")).select("document_id", F.explode(_prefixes(F.col("line"))).alias("part")).where(F.length("part") <= 80).groupBy("document_id", "part").agg(F.count("*").alias("inner"))
         wide = each.groupBy("part").agg(F.count("*").alias("documents"), F.sum("on").alias("pages"))
         elsewhere = inside.groupBy("part").agg(F.sum("inner").alias("inner_all"))
         parts = each.join(inside, ["document_id", "part"], "left").join(wide, "part").join(elsewhere, "part", "left")
