@@ -10,6 +10,7 @@ from factloom.llm.groups import assign_groups, connected_groups, known_pairs
 from factloom.llm.mixing import mixture, reached_shares, source_rates
 from factloom.llm.names import average_linkage, name_groups, similar_names, variant_pairs
 from factloom.llm.repeated_lines import repeated_lines, without_lines
+from factloom.llm import residue as rules
 from factloom.llm.residue import residue, without_residue
 from factloom.llm.scanned import Repair
 from factloom.llm.sentences import sentence_ends, sentences
@@ -171,6 +172,28 @@ _LINES = """WITH once AS (SELECT DISTINCT id, document_id, text FROM document_pa
     sizes AS (SELECT document_id, count(*) AS pages FROM once GROUP BY 1),
     wide AS (SELECT s.document_id, letters FROM spelled s JOIN sizes z USING (document_id) WHERE len(letters) >= 15 GROUP BY s.document_id, letters, z.pages HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= z.pages * 0.05),
     found AS (SELECT id, line_no FROM spelled SEMI JOIN wide USING (document_id, letters))"""
+
+
+def _matches(what: str, patterns: list[str]) -> str:
+    """Whether a whole text matches one of some patterns that need no look-behind and no back-reference."""
+    return "(" + " OR ".join(f"regexp_full_match({what}, '" + p.replace("'", "''") + "')" for p in patterns if "\\1" not in p) + ")"
+
+
+_MASKS = [
+    (r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+", "@"), (rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s(?:{rules._MONTHS})\s\d{{4}}\b|\b(?:{rules._MONTHS})\s\d{{1,2}},?\s\d{{4}}\b", "0"), (r"\d+(?:[.,:/-]\d+)*", "0"),
+    (r"([.!?…؟।])[\")\]”’»]*\s+", r"\1\n"), (r"([。！？])", r"\1\n"),
+]
+_MASKED = "lower(text)"
+for _seen, _put in _MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_seen}', " + (f"'{_put}'" if "n" not in _put else "'\\1' || chr(10)") + ", 'g')"
+_LATIN = "len(list_filter(string_split(regexp_replace(m, '[^a-z ]', ' ', 'g'), ' '), lambda w: w IN (" + ", ".join(f"'{w}'" for w in rules.LOREM.split()) + ")))"
+_RESIDUE = f"""WITH messages AS (SELECT DISTINCT doc_id, source, m FROM (SELECT doc_id, source, trim(regexp_replace(unnest(string_split({_MASKED}, chr(10))), '[\\s\\x{{00a0}}\\x{{202f}}]+', ' ', 'g')) AS m FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE regexp_matches(m, '\\p{{L}}')),
+    kinds AS (SELECT m, count(*) AS records, count(DISTINCT coalesce(source, '')) AS sources, CASE WHEN {_matches("m", rules.SCRIPTS + rules.ERRORS + rules.FILLERS)} OR (len(list_distinct(string_split(m, ' '))) = 1 AND contains(m, ' ') AND regexp_full_match(m, '[a-z]{{1,5}} .*'))
+              OR (len(string_split(m, ' ')) >= 3 AND regexp_full_match(m, '[a-z .,]+') AND {_LATIN} >= 0.7 * len(string_split(m, ' '))) THEN 'notice' WHEN {_matches("m", rules.HELPERS)} THEN 'helper'
+              WHEN len(m) <= {rules.TITLE_LENGTH} AND len(string_split(m, ' ')) <= 9 AND NOT regexp_matches(m, '[.!?。！？।؟…]$') THEN 'title' END AS kind FROM messages GROUP BY m),
+    judged AS (SELECT doc_id, count(*) FILTER (WHERE kind IS NULL) AS other, max(m) FILTER (WHERE kind IS NULL) AS odd FROM messages JOIN kinds USING (m) GROUP BY doc_id HAVING count(*) FILTER (WHERE kind = 'notice') > 0),
+    adopted AS (SELECT odd FROM judged JOIN kinds ON odd = m WHERE other = 1 AND records >= {rules.MIN_RECORDS} AND sources >= {rules.MIN_SOURCES} GROUP BY odd, records HAVING count(*) = records)"""
+_FIELDS = "(" + " OR ".join("regexp_matches(text, '" + p.replace("(?<![\\w_])", "(?:^|[^A-Za-z0-9_])").replace("(?![\\w_])", "(?:[^A-Za-z0-9_]|$)") + "')" for p in rules.PLACEHOLDERS) + ")"
 ORACLE = {
     "p1_found": f"{_LINKS} SELECT group_id, fact_id FROM grouped",
     "p1_groups": f"{_LINKS} SELECT coalesce(group_id, id) AS group_id, id AS fact_id FROM known LEFT JOIN grouped ON fact_id = id",
@@ -178,5 +201,6 @@ ORACLE = {
     "p8_found": "SELECT container_kind, doc_id FROM documents, container_kinds WHERE doc_id IS NOT NULL AND strlen(text) > 4 * capacity_tokens",
     "p9_found": """SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(strlen(text)) AS has FROM documents GROUP BY 1) s USING (source)
         WHERE coalesce(has, 0) * max_repeats < target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p10_found": f"{_RESIDUE} SELECT doc_id FROM judged WHERE other = 0 OR (other = 1 AND odd IN (SELECT odd FROM adopted)) UNION SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND {_FIELDS}",
     "p3_found": f"{_LINES} SELECT id, line_no::INT AS line_no FROM found",
 }
