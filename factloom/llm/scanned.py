@@ -146,44 +146,85 @@ def train_ranker(words: list[tuple[str, int, float]], names: list[tuple[str, int
     return Boosted().fit(np.array(x), np.array(y))
 
 
-def _tokens(text: str) -> Iterator[tuple[int, int, str, str, bool, bool, bool]]:
-    """line_no, place, form, written, capital, opens a sentence, stands among names; broken words are left out."""
-    opens, carried, titled = True, False, False
-    for line_no, line in enumerate(text.split("\n"), 1):
-        raw = _TOKENS.findall(line)
+_INITIAL = re.compile(r"(?:[A-Z]|Dr|Mr|Mrs|St|Ltd|Inc|Pvt|Prof|Co|No|Fig|Sec)\.")
+
+
+def _ends(token: str) -> bool:
+    """Whether a token ends a sentence."""
+    return token[-1] in ".!?:\"”’»)]" and bool(_SENTENCE_END.search(token)) and not _INITIAL.fullmatch(token)
+
+
+def _capital(token: str) -> bool:
+    return token.lstrip(_STRIP)[:1].isupper()
+
+
+def _reads_as_title(tokens: list[str], line: str, line_no: int) -> bool:
+    return all(len(t) <= 3 or _capital(t) for t in tokens) or (line_no <= 3 and "|" in line)
+
+
+class _Line:
+    """The tokens of a line, of which words broken over its ends are none, and how the line before it ended."""
+
+    __slots__ = ("no", "text", "raw", "first", "last", "before")
+
+    def __init__(self, no: int, text: str, raw: list[str], first: int, last: int, before: _Line | None) -> None:
+        self.no, self.text, self.raw, self.first, self.last, self.before = no, text, raw, first, last, before
+
+    def opens(self, i: int) -> bool:
+        """Whether a token opens a sentence."""
+        if i:
+            return _ends(self.raw[i - 1])
+        return self.before is None or _ends(self.before.raw[-1]) or _reads_as_title(self.before.raw, self.before.text, self.before.no)
+
+    def named(self, i: int) -> bool:
+        """Whether a token stands among names: a capital beside a capital."""
+        raw = self.raw
+        if self.text.isupper() or not _capital(raw[i]):
+            return False
+        if i + 1 < len(raw) and _capital(raw[i + 1]) and not _SENTENCE_END.search(raw[i]):
+            return True
+        return i > 0 and _capital(raw[i - 1]) and not self.opens(i) and not _SENTENCE_END.search(raw[i - 1])
+
+
+def _lines(text: str) -> Iterator[_Line]:
+    """The lines of a page that hold tokens; a blank line ends what stands before it."""
+    before, carried = None, False
+    for no, line in enumerate(text.split("\n"), 1):
+        raw = line.split()
         if not raw:
-            opens = True
+            before = None
             continue
-        broken = bool(_BROKEN.search(line))
-        caps = [t.lstrip(_STRIP)[:1].isupper() for t in raw]
-        opens = opens or titled
-        titled = all(c or len(t) <= 3 for c, t in zip(caps, raw)) or (line_no <= 3 and "|" in line)
-        shouted = line.isupper()
-        for i, t in enumerate(raw):
-            written = t.strip(_STRIP)
-            # a bracket, or a misread c
-            also = ["(" + written] if t[:1] == "(" and ")" not in t and written[:1].islower() else []
-            if written and not (i == 0 and carried) and not (broken and i == len(raw) - 1):
-                named = not shouted and caps[i] and ((i + 1 < len(raw) and caps[i + 1] and not _SENTENCE_END.search(t)) or (i > 0 and caps[i - 1] and not opens and not _SENTENCE_END.search(raw[i - 1])))
-                for w in (written, *also):
-                    yield line_no, i, w.lower(), w, caps[i], opens, named
-            opens = bool(_SENTENCE_END.search(t)) and not re.fullmatch(r"(?:[A-Z]|Dr|Mr|Mrs|St|Ltd|Inc|Pvt|Prof|Co|No|Fig|Sec)\.", t)
+        broken = raw[-1][-1] in _BREAKS and bool(_BROKEN.search(line))
+        before = _Line(no, line, raw, int(carried), len(raw) - broken, before)
+        yield before
+        before.before = None  # no chain of lines stays alive
         carried = broken
 
 
+def _forms(token: str) -> list[str]:
+    """The token without punctuation, and with a leading bracket that may be a misread c."""
+    word = token.strip(_STRIP)
+    return [word, "(" + word] if token[0] == "(" and ")" not in token and word[:1].islower() else [word]
+
+
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of forms in a batch: n, and how many stand capital within a sentence."""
+    """Counts of forms in a batch: n, how many stand within a sentence, and how many of these are capital."""
     for pdf in batches:
-        n, caps, inner = Counter(), Counter(), Counter()
+        n, caps, opening = Counter(), Counter(), Counter()
         for text in pdf["text"]:
-            for _, _, form, _, capital, opens, _ in _tokens(text):
-                n[form] += 1
-                if not opens:
-                    inner[form] += 1
-                    if capital:
-                        caps[form] += 1
-        kept = [k for k in n if len(k) <= 40 and any(c.isalpha() for c in k)]
-        yield pd.DataFrame({"form": kept, "n": [n[k] for k in kept], "inner": [inner[k] for k in kept], "capitals": [caps[k] for k in kept]})
+            for line in _lines(text):
+                tokens = line.raw[line.first : line.last]
+                words = [t.strip(_STRIP) for t in tokens]
+                n.update([w.lower() for w in words])
+                n.update(w.lower() for t in tokens if t[0] == "(" for w in _forms(t)[1:])
+                for i, w in enumerate(words, line.first):
+                    # only what can open a sentence or is capital is looked at
+                    if (i == 0 or line.raw[i - 1][-1] in ".!?:\"”’»)]") and line.opens(i):
+                        opening[w.lower()] += 1
+                    elif w[:1].isupper():
+                        caps[w.lower()] += 1
+        kept = [k for k in n if k and len(k) <= 40 and any(c.isalpha() for c in k)]
+        yield pd.DataFrame({"form": kept, "n": [n[k] for k in kept], "inner": [n[k] - opening[k] for k in kept], "capitals": [caps[k] for k in kept]})
 
 
 def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +234,7 @@ def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text in zip(pdf["id"], pdf["text"]):
             lines = text.split("\n")
             for at, (a, b) in enumerate(zip(lines, lines[1:]), 1):
-                m = _BROKEN.search(a)
+                m = _BROKEN.search(a) if a.rstrip()[-1:] in _BREAKS else None
                 if m and (nxt := _TOKENS.match(b)) and (left := m[1].lstrip(_STRIP)):
                     right = nxt[0].rstrip(_STRIP)
                     if right[:1].isalpha() and left[-1:].isalpha():
@@ -497,13 +538,22 @@ def _numerals(units: str):
 
 
 def _suspects(clean: frozenset[str]):
+    """Every token whose form is not among the clean ones, with where it stands."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["id"], pdf["text"]):
-                for line_no, place, form, written, capital, opens, named in _tokens(text):
-                    if form not in clean and any(c.isalpha() for c in form) and len(form) <= 40:
-                        rows.append((key, line_no, place, form, written, capital, opens, named))
+                for line in _lines(text):
+                    for i in range(line.first, line.last):
+                        token = line.raw[i]
+                        word = token.strip(_STRIP)
+                        if word.lower() in clean and token[0] != "(":
+                            continue
+                        for w in _forms(token):
+                            form = w.lower()
+                            if w and form not in clean and len(w) <= 40 and any(c.isalpha() for c in w):
+                                rows.append((key, line.no, i, form, w, _capital(token), line.opens(i), line.named(i)))
             yield pd.DataFrame(rows, columns=["id", "line_no", "place", "form", "written", "capital", "opens", "named"])
 
     return run
