@@ -56,3 +56,65 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_times": p4_times, "p6_found": p6_found, "p6_values": p6_values}
+
+
+# Units as they are written, lower-cased, with what one of them is in the family's common unit, as a fraction.
+_UNITS = """
+ratio bps 1 1: bps, basis points, basis point
+ratio bps 10 1: ‰, per mille, permille
+ratio bps 100 1: %, per cent, percent, pct
+mass g 1000 1: kg, kgs, kilogram, kilograms
+mass g 1 1: g, gram, grams
+mass g 1000000 1: t, mt, tonne, tonnes, metric tonnes, metric tonne
+mass g 1000000000 1: kt, kilotonne, kilotonnes
+mass g 100000 1: quintal, quintals
+mass g 45359237 100000: lb, lbs, pound, pounds
+mass g 90718474 100: short ton, short tons
+energy Wh 1000 1: kwh, kilowatt-hour, kilowatt-hours
+energy Wh 1000000 1: mwh, megawatt-hour, megawatt-hours
+energy Wh 1000000000 1: gwh, gigawatt-hour, gigawatt-hours
+energy Wh 1000000000000 1: twh, terawatt-hour, terawatt-hours
+energy Wh 1000000000 3600: gj, gigajoule, gigajoules
+power W 1000 1: kw, kilowatt, kilowatts
+power W 1000000 1: mw, megawatt, megawatts
+power W 1000000000 1: gw, gigawatt, gigawatts
+distance m 1 1: m, metre, metres, meter, meters
+distance m 1000 1: km, kms, kilometre, kilometres, kilometer, kilometers
+distance m 1609344 1000: mi, mile, miles
+distance m 3048 10000: ft, foot, feet
+area sqm 1 1: sqm, sq. m, sq m, m², m2, square metre, square metres
+area sqm 9290304 100000000: sqft, sq. ft., sq. ft, sq ft, square foot, square feet
+area sqm 10000 1: ha, hectare, hectares
+area sqm 40468564224 10000000: acre, acres
+area sqm 1000000 1: sq km, km², km2, square kilometres
+volume l 1 1: l, litre, litres, liter, liters
+volume l 1000 1: kl, kilolitre, kilolitres, cu m, m³, m3, cubic metre, cubic metres
+volume l 1000000 1: ml, megalitre, megalitres
+volume l 3785411784 1000000000: gal, gallon, gallons
+volume l 158987294928 1000000000: bbl, barrel, barrels
+duration s 60 1: min, minute, minutes
+duration s 3600 1: h, hr, hrs, hour, hours
+duration s 86400 1: d, day, days
+duration s 604800 1: week, weeks
+count count 1 1: parcels, lamps, visits, policies, vehicles, students
+"""
+_UNIT_ROWS = ", ".join(f"('{u.strip()}', '{common}', {num}::HUGEINT, {den}::HUGEINT)" for line in _UNITS.strip().splitlines() for head, names in [line.split(":")] for _, common, num, den in [head.split()] for u in names.split(","))
+_CODES = "CASE upper(rtrim({0}, '.')) WHEN 'US$' THEN 'USD' WHEN '$' THEN 'USD' WHEN 'USD' THEN 'USD' WHEN '₹' THEN 'INR' WHEN 'RS' THEN 'INR' WHEN 'INR' THEN 'INR' WHEN '€' THEN 'EUR' WHEN 'EUR' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN 'GBP' THEN 'GBP' WHEN '¥' THEN 'JPY' WHEN 'JPY' THEN 'JPY' WHEN 'S$' THEN 'SGD' WHEN 'SGD' THEN 'SGD' END"
+_GROUP = "[\\d.,\\s\\x{00a0}\\x{202f}\\x{2009}''’]"
+_NUM = f"\\d(?:{_GROUP}*\\d)?"
+_MAGNITUDE = "(hundred|thousand|k|lakhs?|lac|million|mn|mln|crores?|cr|billion|bn|trillion|tn)"
+_VALUES_SQL = f"""WITH units(u, common, num, den) AS (VALUES {_UNIT_ROWS}),
+    placed AS (SELECT id, max(dataset_category) AS category FROM source_documents WHERE id IS NOT NULL GROUP BY id),
+    raws AS (SELECT DISTINCT f.id, value_raw AS raw, value_numeric, f.unit, evidence_quote AS q, coalesce(decimal_mark, '.') AS mark FROM facts f LEFT JOIN placed ON placed.id = document_id LEFT JOIN publisher_conventions ON dataset_category = category WHERE value_raw IS NOT NULL),
+    cut AS (SELECT *, regexp_extract(raw, '^[\\s(−–-]*(US\\$|S\\$|Rs\\.?|USD|INR|EUR|GBP|JPY|SGD|[$₹€£¥])', 1, 'i') AS cur, regexp_extract(raw, '{_NUM}') AS numeral, regexp_matches(raw, '^[^\\d]*[(−–-]') AS minus,
+            trim(regexp_replace(raw, '^[^\\d]*{_NUM}', ''), ' )') AS tail FROM raws),
+    said AS (SELECT *, CASE WHEN cur = '' AND tail = '' THEN coalesce(nullif(regexp_extract(q, '\\((?:figures )?in ([^()]+)\\) as ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''), nullif(regexp_extract(q, ', in ([^,;()]+),[^,;()]*? ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''),
+            nullif(regexp_extract(q, '[ ]' || regexp_escape(raw) || ', all amounts being stated in (.+?)\\.?(?: [(\\[]|\\. |,|$)', 1), ''), unit) ELSE tail END AS words FROM cut),
+    parted AS (SELECT *, lower(regexp_extract(words, '^{_MAGNITUDE}\\b', 1, 'i')) AS mag, trim(regexp_replace(words, '^{_MAGNITUDE}\\b', '', 'i')) AS said_unit FROM said),
+    counted AS (SELECT *, coalesce({_CODES.format("nullif(cur, '')")}, {_CODES.format("said_unit")}) AS code, replace(regexp_replace(regexp_replace(numeral, '[\\s\\x{{00a0}}\\x{{202f}}\\x{{2009}}''’]', '', 'g'), CASE mark WHEN ',' THEN '\\.' ELSE ',' END, '', 'g'), mark, '.') AS plain,
+            CASE rtrim(mag, 's') WHEN 'hundred' THEN 100 WHEN 'thousand' THEN 1000 WHEN 'k' THEN 1000 WHEN 'lakh' THEN 100000 WHEN 'lac' THEN 100000 WHEN 'million' THEN 1000000 WHEN 'mn' THEN 1000000 WHEN 'mln' THEN 1000000 WHEN 'crore' THEN 10000000 WHEN 'cr' THEN 10000000
+                 WHEN 'billion' THEN 1000000000 WHEN 'bn' THEN 1000000000 WHEN 'trillion' THEN 1000000000000 WHEN 'tn' THEN 1000000000000 ELSE 1 END::HUGEINT AS factor FROM parted),
+    scaled AS (SELECT c.id, value_numeric, coalesce(code, common) AS common_unit, (try_cast(plain AS DECIMAL(30, 6)) * 1000000)::HUGEINT * factor * CASE WHEN code IS NULL THEN num ELSE 1 END * CASE WHEN minus THEN -1 ELSE 1 END AS p, CASE WHEN code IS NULL THEN den ELSE 1 END * 1000000::HUGEINT AS d
+            FROM counted c LEFT JOIN units ON code IS NULL AND u = lower(said_unit) WHERE code IS NOT NULL OR common IS NOT NULL)
+    SELECT DISTINCT id, value_numeric, common_unit, (CASE WHEN p < 0 THEN -1 ELSE 1 END * ((2 * abs(p) + d) // (2 * d)))::BIGINT AS value_common, p::DOUBLE / d::DOUBLE AS quantity FROM scaled WHERE p IS NOT NULL"""
+ORACLE = {"p6_found": f"SELECT DISTINCT id, common_unit, value_common FROM ({_VALUES_SQL}) WHERE value_numeric IS NULL OR isnan(value_numeric) OR abs(value_numeric - quantity) > abs(quantity) * 0.001"}
