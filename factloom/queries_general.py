@@ -108,8 +108,8 @@ _VALUES_SQL = f"""WITH units(u, common, num, den) AS (VALUES {_UNIT_ROWS}),
     raws AS (SELECT DISTINCT f.id, value_raw AS raw, value_numeric, f.unit, evidence_quote AS q, coalesce(decimal_mark, '.') AS mark FROM facts f LEFT JOIN placed ON placed.id = document_id LEFT JOIN publisher_conventions ON dataset_category = category WHERE value_raw IS NOT NULL),
     cut AS (SELECT *, regexp_extract(raw, '^[\\s(−–-]*(US\\$|S\\$|Rs\\.?|USD|INR|EUR|GBP|JPY|SGD|[$₹€£¥])', 1, 'i') AS cur, regexp_extract(raw, '{_NUM}') AS numeral, regexp_matches(raw, '^[^\\d]*[(−–-]') AS minus,
             trim(regexp_replace(raw, '^[^\\d]*{_NUM}', ''), ' )') AS tail FROM raws),
-    said AS (SELECT *, CASE WHEN cur = '' AND tail = '' THEN coalesce(nullif(regexp_extract(q, '\\((?:figures )?in ([^()]+)\\) as ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''), nullif(regexp_extract(q, ', in ([^,;()]+),[^,;()]*? ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''),
-            nullif(regexp_extract(q, '[ ]' || regexp_escape(raw) || ', all amounts being stated in (.+?)\\.?(?: [(\\[]|\\. |,|$)', 1), ''), unit) ELSE tail END AS words FROM cut),
+    said AS (SELECT *, CASE WHEN cur = '' AND tail = '' THEN trim(coalesce(nullif(regexp_extract(q, '\\((?:figures )?in ([^()]+)\\) as ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''), nullif(regexp_extract(q, ', in ([^,;()]+),[^,;()]*? ' || regexp_escape(raw) || '(?:[^\\d.,]|[.,][^\\d]|[.,]?$)', 1), ''),
+            nullif(regexp_extract(q, '[ ]' || regexp_escape(raw) || ', all amounts being stated in ((?:sq\\. ft|sq\\. m|[^.,(\\[])+)', 1), ''), unit)) ELSE tail END AS words FROM cut),
     parted AS (SELECT *, lower(regexp_extract(words, '^{_MAGNITUDE}\\b', 1, 'i')) AS mag, trim(regexp_replace(words, '^{_MAGNITUDE}\\b', '', 'i')) AS said_unit FROM said),
     counted AS (SELECT *, coalesce({_CODES.format("nullif(cur, '')")}, {_CODES.format("said_unit")}) AS code, replace(regexp_replace(regexp_replace(numeral, '[\\s\\x{{00a0}}\\x{{202f}}\\x{{2009}}''’]', '', 'g'), CASE mark WHEN ',' THEN '\\.' ELSE ',' END, '', 'g'), mark, '.') AS plain,
             CASE rtrim(mag, 's') WHEN 'hundred' THEN 100 WHEN 'thousand' THEN 1000 WHEN 'k' THEN 1000 WHEN 'lakh' THEN 100000 WHEN 'lac' THEN 100000 WHEN 'million' THEN 1000000 WHEN 'mn' THEN 1000000 WHEN 'mln' THEN 1000000 WHEN 'crore' THEN 10000000 WHEN 'cr' THEN 10000000
@@ -118,3 +118,32 @@ _VALUES_SQL = f"""WITH units(u, common, num, den) AS (VALUES {_UNIT_ROWS}),
             FROM counted c LEFT JOIN units ON code IS NULL AND u = lower(said_unit) WHERE code IS NOT NULL OR common IS NOT NULL)
     SELECT DISTINCT id, value_numeric, common_unit, (CASE WHEN p < 0 THEN -1 ELSE 1 END * ((2 * abs(p) + d) // (2 * d)))::BIGINT AS value_common, p::DOUBLE / d::DOUBLE AS quantity FROM scaled WHERE p IS NOT NULL"""
 ORACLE = {"p6_found": f"SELECT DISTINCT id, common_unit, value_common FROM ({_VALUES_SQL}) WHERE value_numeric IS NULL OR isnan(value_numeric) OR abs(value_numeric - quantity) > abs(quantity) * 0.001"}
+
+_MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH_NUMBER = lambda t: "CASE lower(left(" + t + ", 3)) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(_MONTH_NAMES, 1)) + " END"
+_MONTH_WORD = "((?:" + "|".join(_MONTH_NAMES) + ")[a-z]*)"
+_DAY = lambda y, m, d: f"try_cast(printf('%04d-%02d-%02d', ({y})::INT, ({m})::INT, ({d})::INT) AS DATE)"
+_X = lambda pattern, n, what="t": f"regexp_extract({what}, '{pattern}', {n}, 'i')"
+_YMD, _ABC = "^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})(.*)$", "^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{4}|\\d{2})(\\D.*)?$"
+_DMON, _MOND = f"^(\\d{{1,2}})(?:st|nd|rd|th)?[ -]*{_MONTH_WORD}\\.?,?[ -]*[''’]?(\\d{{4}}|\\d{{2}})(.*)$", f"^{_MONTH_WORD} (\\d{{1,2}})(?:st|nd|rd|th)?, (\\d{{4}})(.*)$"
+_CLOCK = "^(?:T|,? (?:at )?)(\\d{1,2}):(\\d{2})(?::(\\d{2})(?:[.,]\\d+)?)?(?: ?([ap])[.]?m\\b[.]?)? ?(.*)$"
+_FULL = lambda y: f"CASE WHEN len({y}) = 2 THEN 2000 + ({y})::INT ELSE ({y})::INT END"
+_TIMES_SQL = f"""WITH placed AS (SELECT id, max(dataset_category) AS category FROM source_documents WHERE id IS NOT NULL GROUP BY id),
+    texts AS (SELECT DISTINCT f.id, trim(regexp_replace(time_period, '\\s+', ' ', 'g')) AS whole, coalesce(time_zone, 'UTC') AS home, coalesce(date_order, 'YMD') AS ord FROM facts f LEFT JOIN placed ON placed.id = document_id LEFT JOIN publisher_conventions ON dataset_category = category
+              WHERE time_period_normalized IS NULL AND time_period IS NOT NULL),
+    led AS (SELECT *, regexp_replace(regexp_replace(whole, '^(as (on|at|of)|position (at|on)|dated|on|at) ', '', 'i'), '^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ', '', 'i') AS x FROM texts),
+    turned AS (SELECT *, CASE WHEN regexp_matches(x, '^\\d{{1,2}}:\\d{{2}} on ') THEN regexp_extract(x, ' on (.*)$', 1) || ' ' || regexp_extract(x, '^(\\d{{1,2}}:\\d{{2}}) on ', 1)
+               WHEN regexp_full_match(x, '\\d{{8}}(T?\\d{{6}}Z?)?') THEN regexp_replace(regexp_replace(x, '^(\\d{{4}})(\\d{{2}})(\\d{{2}})', '\\1-\\2-\\3'), '(\\d-\\d\\d)T?(\\d{{2}})(\\d{{2}})(\\d{{2}})(Z?)$', '\\1T\\2:\\3:\\4\\5') ELSE x END AS t FROM led),
+    dated AS (SELECT *, CASE WHEN regexp_full_match(t, '\\d{{10}}|\\d{{13}}') THEN 'epoch' WHEN regexp_matches(t, '{_YMD}') THEN 'ymd' WHEN regexp_matches(t, '{_ABC}') THEN 'abc' WHEN regexp_matches(t, '{_DMON}', 'i') THEN 'dmon' WHEN regexp_matches(t, '{_MOND}', 'i') THEN 'mond' END AS kind FROM turned),
+    days AS (SELECT *, CASE kind WHEN 'ymd' THEN {_DAY(_X(_YMD, 1), _X(_YMD, 2), _X(_YMD, 3))} WHEN 'dmon' THEN {_DAY(_FULL(_X(_DMON, 3)), _MONTH_NUMBER(_X(_DMON, 2)), _X(_DMON, 1))} WHEN 'mond' THEN {_DAY(_X(_MOND, 3), _MONTH_NUMBER(_X(_MOND, 1)), _X(_MOND, 2))}
+             WHEN 'abc' THEN CASE WHEN ord = 'YMD' AND len({_X(_ABC, 3)}) = 2 THEN {_DAY("2000 + (" + _X(_ABC, 1) + ")::INT", _X(_ABC, 2), _X(_ABC, 3))} WHEN ord = 'MDY' THEN coalesce({_DAY(_FULL(_X(_ABC, 3)), _X(_ABC, 1), _X(_ABC, 2))}, {_DAY(_FULL(_X(_ABC, 3)), _X(_ABC, 2), _X(_ABC, 1))})
+                  ELSE coalesce({_DAY(_FULL(_X(_ABC, 3)), _X(_ABC, 2), _X(_ABC, 1))}, {_DAY(_FULL(_X(_ABC, 3)), _X(_ABC, 1), _X(_ABC, 2))}) END END AS day,
+             CASE kind WHEN 'ymd' THEN {_X(_YMD, 4)} WHEN 'abc' THEN {_X(_ABC, 4)} WHEN 'dmon' THEN {_X(_DMON, 4)} WHEN 'mond' THEN {_X(_MOND, 4)} ELSE '' END AS rest FROM dated),
+    clocks AS (SELECT *, {_X(_CLOCK, 1, "rest")} AS h, {_X(_CLOCK, 2, "rest")} AS mi, coalesce(nullif({_X(_CLOCK, 3, "rest")}, ''), '0') AS s, lower({_X(_CLOCK, 4, "rest")}) AS half, trim({_X(_CLOCK, 5, "rest")}, ' ()[]') AS zone FROM days),
+    locals AS (SELECT c.*, CASE WHEN h <> '' THEN day::TIMESTAMP + to_hours(CASE WHEN half = '' THEN h::INT ELSE h::INT % 12 + CASE half WHEN 'p' THEN 12 ELSE 0 END END) + to_minutes(mi::INT) + to_seconds(s::INT) END AS here,
+               CASE WHEN upper(zone) = 'Z' THEN 0 WHEN regexp_full_match(zone, '(UTC|GMT)?[+-]\\d{{1,2}}(:?\\d{{2}})?') THEN (CASE WHEN contains(zone, '-') THEN -1 ELSE 1 END) * (regexp_extract(zone, '[+-](\\d{{1,2}})', 1)::INT * 60 + coalesce(nullif(regexp_extract(zone, '[+-]\\d{{1,2}}:?(\\d{{2}})$', 1), ''), '0')::INT) ELSE utc_offset_minutes END AS east
+               FROM clocks c LEFT JOIN zone_abbreviations ON upper(zone) = abbreviation),
+    moments AS (SELECT *, CASE WHEN east IS NOT NULL THEN here - to_minutes(east) WHEN zone = '' OR contains(zone, '/') THEN timezone('UTC', CASE WHEN timezone(CASE WHEN zone = '' THEN home ELSE zone END, timezone(CASE WHEN zone = '' THEN home ELSE zone END, here) - INTERVAL 1 HOUR) = here
+                THEN timezone(CASE WHEN zone = '' THEN home ELSE zone END, here) - INTERVAL 1 HOUR ELSE timezone(CASE WHEN zone = '' THEN home ELSE zone END, here) END) END AS utc FROM locals)
+    SELECT DISTINCT id, CASE WHEN kind = 'epoch' THEN strftime(make_timestamp(left(t, 10)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') WHEN rest = '' THEN strftime(day, '%Y-%m-%d') ELSE strftime(utc, '%Y-%m-%dT%H:%M:%SZ') END AS moment FROM moments"""
+ORACLE["p4_found"] = f"SELECT id, moment FROM ({_TIMES_SQL}) WHERE moment IS NOT NULL"
