@@ -284,7 +284,8 @@ class Repair:
     def _corrections(self) -> DataFrame:
         """The best correction of each form that has one: form, word, and whether the word is far more common."""
         right = self.words.where((F.col("n") >= MIN_COUNT) & F.col("form").rlike(r"^[a-z]+(?:[-'’][a-z]+)*$") & (F.length("form") >= 2))
-        forms = self.words.where((F.length("form") >= 2) & F.col("form").rlike(r"\p{L}") & ~F.col("form").rlike(r"[/@_=]|^\d+(?:st|nd|rd|th)$"))
+        # what can be a misread word at all: Latin letters and what is read for them, and no number with a unit
+        forms = self.words.where((F.length("form") >= 2) & F.col("form").rlike(r"^[\p{IsLatin}\d('’|!-]+$") & F.col("form").rlike(r"\p{L}") & ~F.col("form").rlike(r"^\d+(?:st|nd|rd|th)$|\d-?\d.*\d"))
         index = self.stage.cut(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.explode(_grammed("form")).alias("gram")), "index")
         frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
         own = self.stage.cut(forms.select("form", "n", "capitals", _grammed("form").alias("grams")), "forms")
