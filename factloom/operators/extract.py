@@ -31,6 +31,7 @@ BARE, YEAR, CONTENTS, NO_LABEL, EMPTY_LABEL, UNIT_LABEL, DUPLICATE, UNGROUNDED =
     "bare_number_without_unit", "number_is_a_year_not_a_measure", "table_of_contents_or_index_navigation", "no_metric_label_in_context", "label_is_only_function_words", "label_names_a_unit_not_a_metric",
     "duplicate_of_higher_confidence_fact", "llm_quote_not_present_in_page_text",
 )
+UNPARSED, MOST_PROPOSED = "value_could_not_be_normalized", 0.9
 ROUTINE = (BARE, YEAR, CONTENTS)
 LABEL_WORDS, CAPTION, BACK, AHEAD, COUNTED_AHEAD = 8, 90, 220, 160, 80
 #: What each reason means.
@@ -362,3 +363,16 @@ def grounded_proposals(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     at = F.expr("locate(quote, _text)")
     found = proposals.join(texts, ["document_id", "page_number"], "left").withColumn("_at", F.when(F.coalesce(F.col("quote") != "", F.lit(False)), F.coalesce(at, F.lit(0))).otherwise(0))
     return found.select("*", F.when(F.col("_at") > 0, F.col("_at") - 1).alias("char_start"), F.when(F.col("_at") > 0, F.col("_at") - 1 + F.length("quote")).alias("char_end"), F.when(F.col("_at") == 0, UNGROUNDED).alias("reason")).drop("_text", "_at")
+
+
+def facts_from_proposals(grounded: DataFrame) -> DataFrame:
+    """Grounded proposals with what a fact needs: predicate, value_numeric, unit, unit_family, time_period_normalized, and a confidence of 0.9 at most.
+
+    grounded: from ``grounded_proposals``, with value, metric, period and confidence.  A value without number and a metric
+    without words are reasons too.
+    """
+    q = N.parse_quantity(F.col("value"))
+    x = grounded.withColumn("_q", q).withColumn("predicate", N.predicate_key(F.col("metric")))
+    reason = F.coalesce("reason", F.when(F.col("_q.normalized").isNull(), UNPARSED), F.when(F.col("predicate") == "", EMPTY_LABEL))
+    fields = {"value_numeric": F.col("_q.normalized"), "unit": F.col("_q.unit"), "unit_family": N.unit_family(F.col("_q.unit")), "time_period_normalized": N.period_key(F.col("period")), "confidence": F.least(F.coalesce("confidence", F.lit(0.5)), F.lit(MOST_PROPOSED)), "reason": reason}
+    return x.withColumns(fields).drop("_q")

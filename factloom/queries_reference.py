@@ -692,9 +692,10 @@ _NOTES = ("note", "disclaimer", "source", "footnote")
 
 
 def title(facts: DataFrame) -> DataFrame:
-    """Facts with a readable ``title``: lead-ins, tails and auxiliaries cut off; a vague label takes the last telling label of its page before it.
+    """Facts with a readable ``title``: lead-ins, tails and auxiliaries cut off; a vague label takes the last telling label
+    of its page before it, else the first words of its quote, else its subject.
 
-    facts: id, document_id, evidence_page, subject, predicate_label, unit, unit_family, char_start.
+    facts: id, document_id, evidence_page, subject, predicate_label, unit, unit_family, char_start, evidence_quote.
     """
     raw = F.trim(F.coalesce("predicate_label", F.lit("")))
     raw = F.regexp_replace(F.regexp_replace(raw, r"(?i)^s\s+", ""), r"(?i)^(?:contrast|notably|similarly|subsequently)\s+", "")
@@ -712,10 +713,16 @@ def title(facts: DataFrame) -> DataFrame:
     subject = F.when(F.coalesce(F.col("subject") != "", F.lit(False)), F.col("subject"))
     note = said.rlike("^(?:" + "|".join(_NOTES) + ")")
     share = F.coalesce((F.col("unit") == "%") | (F.col("unit_family") == "ratio"), F.lit(False))
+    words = F.coalesce("evidence_quote", F.lit(""))
+    for pattern in (r"(?i)\(\d+\)|Note:.*$", r"[-−(]?\s*[\d,]+(?:\.\d+)?%?\)?", r"(?i)(?:YoY|QoQ|MoM)[:\s]*", "[₹$€£¥]"):
+        words = F.regexp_replace(words, pattern, "")
+    pieces = F.filter(F.transform(F.split(F.trim(words), r"[;\n/]"), F.trim), lambda w: F.length(w) >= 4)
+    quoted = F.regexp_replace(F.get(pieces, F.lit(0)), r"^[-–—:,\s]+|[-–—:,\s]+$", "")
+    quoted = F.when(F.length(quoted).between(4, 50) & ~F.lower(quoted).startswith("note"), quoted)
     shown = (
         F.when(note & share, F.coalesce(F.concat(subject, F.lit(" Segment Share (%)")), F.lit("Segment Distribution (%)")))
         .when(note, F.coalesce(F.concat(subject, F.lit(" Distribution Share")), F.lit("Distribution Share")))
-        .when(said.isin(*_VAGUE), F.coalesce(F.concat("_parent", F.lit(" ("), kind, F.lit(")")), F.trim(F.concat(named, kind, F.lit(" Growth")))))
+        .when(said.isin(*_VAGUE), F.coalesce(F.concat(F.coalesce("_parent", quoted), F.lit(" ("), kind, F.lit(")")), F.trim(F.concat(named, kind, F.lit(" Growth")))))
         .when((F.length("_raw") <= 3) & ~F.col("_raw").rlike(r"\d"), F.coalesce(F.concat(subject, F.lit(" Metric")), F.col("_raw")))
         .otherwise(F.col("_raw"))
     )
@@ -725,7 +732,7 @@ def title(facts: DataFrame) -> DataFrame:
 @query()
 def repaired_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable titles of all facts."""
-    return title(_facts(spark, sf_dir, "document_id", "evidence_page", "subject", "predicate_label", "unit", "unit_family", "char_start")).select("id", "title")
+    return title(_facts(spark, sf_dir, "document_id", "evidence_page", "subject", "predicate_label", "unit", "unit_family", "char_start", "evidence_quote")).select("id", "title")
 
 
 # ---- sources and sinks
@@ -871,9 +878,9 @@ def facts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def proposals_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored quotes taken as proposals, each with its span in its page or the reason why it is none."""
-    proposals = _facts(spark, sf_dir, "document_id", F.col("evidence_page").alias("page_number"), F.col("evidence_quote").alias("quote"))
-    return X.grounded_proposals(proposals, _stored_pages(spark, sf_dir)).select("id", "char_start", "char_end", "reason")
+    """Stored facts taken as proposals, each with its span in its page, its number, metric and period, or the reason why it is none."""
+    proposals = _facts(spark, sf_dir, "document_id", F.col("evidence_page").alias("page_number"), F.col("evidence_quote").alias("quote"), F.col("value_raw").alias("value"), F.col("predicate_label").alias("metric"), F.col("time_period").alias("period"), "confidence")
+    return X.facts_from_proposals(X.grounded_proposals(proposals, _stored_pages(spark, sf_dir))).select("id", "char_start", "char_end", "predicate", "value_numeric", "unit", "time_period_normalized", "confidence", "reason")
 
 
 # What the rules are known not to do.

@@ -2,7 +2,7 @@
 
 import pytest
 
-from factloom.operators.extract import contents_issues, facts_and_issues, grounded_proposals, read_pages
+from factloom.operators.extract import contents_issues, facts_and_issues, facts_from_proposals, grounded_proposals, read_pages
 from factloom.operators.pages import canonical_pages
 from factloom.operators.profile import profile_documents
 
@@ -82,3 +82,13 @@ def test_proposals_are_checked_against_the_page(spark):
     given = spark.createDataFrame([("d", 1, "was 5"), ("d", 1, "was 6"), ("d", 2, "was 5"), ("d", 1, None)], "document_id string, page_number int, quote string")
     got = [(r["quote"], r["char_start"], r["char_end"], r["reason"] is None) for r in grounded_proposals(given, pages).collect()]
     assert sorted(got, key=repr) == sorted([("was 5", 8, 13, True), ("was 6", None, None, False), ("was 5", None, None, False), (None, None, None, False)], key=repr)
+
+
+def test_facts_from_proposals(spark):
+    pages = spark.createDataFrame([("d", 1, "Revenue was 5 crore in FY24.")], "document_id string, page_number int, text string")
+    rows = [("d", 1, "5 crore", "5 crore", "Revenue", "FY24", 0.99), ("d", 1, "Revenue", "none", "Revenue", None, 0.5), ("d", 1, "Revenue", "5", "the", None, None), ("d", 1, "x y", "5", "Revenue", None, None)]
+    given = spark.createDataFrame(rows, "document_id string, page_number int, quote string, value string, metric string, period string, confidence double")
+    got = {(r["value"], r["metric"], r["quote"]): r for r in facts_from_proposals(grounded_proposals(given, pages)).collect()}
+    good = got["5 crore", "Revenue", "5 crore"]
+    assert (good["value_numeric"], good["predicate"], good["time_period_normalized"], good["confidence"], good["reason"]) == (5e7, "revenue", "2023-2024", 0.9, None)
+    assert [got[k]["reason"] for k in (("none", "Revenue", "Revenue"), ("5", "the", "Revenue"), ("5", "Revenue", "x y"))] == ["value_could_not_be_normalized", "label_is_only_function_words", "llm_quote_not_present_in_page_text"]

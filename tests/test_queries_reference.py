@@ -40,3 +40,10 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries_reference.QUERIES) - set(queries_reference.ORACLE)))
 def test_runs(spark, name):
     assert queries_reference.QUERIES[name](spark, DIR).count() >= 0
+
+
+def test_titles(spark):
+    rows = [("a", "s real GDP growth has", 1, "q"), ("b", "YoY", 2, "q"), ("c", "Revenue from services excludes goods", 3, "q"), ("d", "qoq", 4, "q"), ("e", "Note due", 5, "q"), ("f", "ab", 6, "q"), ("g", None, 7, "q")]
+    facts = spark.createDataFrame([(i, "d", 1, "Acme", t, None, None, n, q) for i, t, n, q in rows] + [("x", "e", 1, "Acme", "growth", None, None, 1, "5% YoY: ₹3,150 Cr; other"), ("y", "f", 1, None, "yoy", None, None, 1, None)], "id string, document_id string, evidence_page int, subject string, predicate_label string, unit string, unit_family string, char_start int, evidence_quote string")
+    got = {r["id"]: r["title"] for r in queries_reference.title(facts).collect()}
+    assert got == {"a": "real GDP growth", "b": "s real GDP growth has (YoY)", "c": "Revenue from services", "d": "Revenue from services (QoQ)", "e": "Acme Distribution Share", "f": "Acme Metric", "g": "Acme Metric", "x": "other (YoY)", "y": "YoY Growth"}
