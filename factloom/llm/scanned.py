@@ -283,20 +283,20 @@ class Repair:
 
     def _corrections(self) -> DataFrame:
         """The best correction of each form that has one: form, word, and whether the word is far more common."""
-        right = self.words.where((F.col("n") >= MIN_COUNT) & F.col("form").rlike(r"^[a-z]+(?:[-'’][a-z]+)*$") & (F.length("form") >= 2))
         # what can be a misread word at all: Latin letters and what is read for them, and no number with a unit
         forms = self.words.where((F.length("form") >= 2) & F.col("form").rlike(r"^[\p{IsLatin}\d('’|!-]+$") & F.col("form").rlike(r"\p{L}") & ~F.col("form").rlike(r"^\d+(?:st|nd|rd|th)$|\d-?\d.*\d"))
-        index = self.stage.cut(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.explode(_grammed("form")).alias("gram")), "index")
-        frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
         own = self.stage.cut(forms.select("form", "n", "capitals", _grammed("form").alias("grams")), "forms")
+        right = own.where((F.col("n") >= MIN_COUNT) & F.col("form").rlike(r"^[a-z]+(?:[-'’][a-z]+)*$"))
+        index = self.stage.cut(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.explode("grams").alias("gram")), "index")
+        frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
         # of the grams of a form, rarest first, so many that a candidate with the overlap must share one of them
-        ranked = lookup_join(own.select("form", F.explode("grams").alias("gram")), frequency, "gram", salts=SALTS)
-        ordered = ranked.groupBy("form").agg(F.array_sort(F.collect_list(F.struct(_count(F.col("df")).alias("df"), "gram"))).alias("g"))
-        prefix = ordered.select("form", F.size("g").alias("size"), F.explode(F.slice("g", 1, F.size("g") - F.ceil(F.size("g") * OVERLAP).cast("int") + 1)).alias("x")).where("x.df > 0").select("form", "size", F.col("x.gram").alias("gram"))
-        near = prefix.join(index, "gram").where((F.col("form") != F.col("word")) & (F.abs(F.length("form") - F.length("word")) <= 3)).select("form", "word").distinct()
-        sides = near.join(own, "form").join(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.col("capitals").alias("word_capitals"), _grammed("form").alias("_w")), "word")
+        ranked = lookup_join(own.select("form", "n", F.explode("grams").alias("gram")), frequency, "gram", salts=SALTS)
+        ordered = ranked.groupBy("form", "n").agg(F.array_sort(F.collect_list(F.struct(_count(F.col("df")).alias("df"), "gram"))).alias("g"))
+        prefix = ordered.select("form", "n", F.explode(F.slice("g", 1, F.size("g") - F.ceil(F.size("g") * OVERLAP).cast("int") + 1)).alias("x")).where("x.df > 0").select("form", "n", F.col("x.gram").alias("gram"))
+        near = prefix.join(index, "gram").where((F.col("form") != F.col("word")) & (F.col("count") >= F.col("n") * MIN_RATIO) & (F.abs(F.length("form") - F.length("word")) <= 3)).select("form", "word").distinct()
+        sides = near.join(own, "form").join(right.select(F.col("form").alias("word"), F.col("n").alias("count"), F.col("capitals").alias("word_capitals"), F.col("grams").alias("_w")), "word")
         shared = F.size(F.array_intersect("grams", "_w")) / F.size("grams")
-        pairs = sides.withColumn("shared", shared).where((F.col("shared") >= OVERLAP) & (F.col("count") >= F.col("n") * MIN_RATIO)).select("form", "n", "capitals", "word", "count", "word_capitals", "shared")
+        pairs = sides.withColumn("shared", shared).where(F.col("shared") >= OVERLAP).select("form", "n", "capitals", "word", "count", "word_capitals", "shared")
         words = [(r["form"], r["n"], r["capitals"]) for r in right.orderBy(F.desc("n"), "form").limit(SAMPLE_WORDS).collect()]
         names = [(r["form"], r["n"], r["capitals"]) for r in forms.where((F.col("capitals") > 0.9) & (F.col("n") < MIN_COUNT) & ~F.col("form").rlike(r"[\d(]")).orderBy(F.xxhash64("form"), "form").limit(SAMPLE_NAMES).collect()]
         model = train_ranker(words, names)
