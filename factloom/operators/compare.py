@@ -73,20 +73,32 @@ def subject_pairs(facts: DataFrame) -> DataFrame:
     return inside.unionByName(inside.select(F.col("subject_b").alias("subject_a"), F.col("subject_a").alias("subject_b"))).distinct()
 
 
-def candidate_pairs(facts: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def candidate_pairs(facts: DataFrame, min_confidence: float = MIN_CONFIDENCE, new: DataFrame | None = None) -> DataFrame:
     """Pairs of facts of different documents about one metric and subject: the fields of both with ``_a`` and ``_b``, tier and overlap.
 
     The pair's first fact is that with the smaller id.  Facts under the confidence are dropped after words are counted,
-    since they count there.
+    since they count there.  With ``new`` (id) only pairs that hold one of these are looked for, each from its new fact.
     """
     sure = facts.where((F.col("confidence") >= min_confidence) & F.col("document_id").isNotNull() & F.col("predicate").isNotNull()).withColumn("_subject", F.lower("subject_normalized")).where("_subject <> ''")
-    side = lambda s: sure.select(F.col("_subject").alias(f"subject_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "document_id", "predicate", *[f for f in _FIELDS if f != "subject"])], F.col("subject").alias(f"name_{s}"))
-    left = side("a").join(metric_pairs(facts), "predicate_a").join(subject_pairs(facts), "subject_a")
-    hot = sure.groupBy(F.col("predicate").alias("predicate_b"), F.col("_subject").alias("subject_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("predicate_b", "subject_b", F.lit(PARTS).alias("_parts"))
-    spread = lookup_join(left, hot, ["predicate_b", "subject_b"]).withColumn("_part", F.pmod(F.xxhash64("id_a"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    repeated = lookup_join(side("b"), hot, ["predicate_b", "subject_b"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    met = spread.join(repeated, ["predicate_b", "subject_b", "_part"]).drop("_part")
-    return met.where("id_a < id_b and document_id_a <> document_id_b")
+    metrics, subjects = metric_pairs(facts), subject_pairs(facts)
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{s}") for c in ("id", "document_id", "predicate", *[f for f in _FIELDS if f != "subject"])]
+        return rows.select(F.col("_subject").alias(f"subject_{s}"), *named, F.col("subject").alias(f"name_{s}"))
+
+    def meet(first: DataFrame, second: DataFrame) -> DataFrame:
+        keys = ["predicate_b", "subject_b"]
+        left = side(first, "a").join(metrics, "predicate_a").join(subjects, "subject_a")
+        hot = second.groupBy(F.col("predicate").alias("predicate_b"), F.col("_subject").alias("subject_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys, F.lit(PARTS).alias("_parts"))
+        spread = lookup_join(left, hot, keys).withColumn("_part", F.pmod(F.xxhash64("id_a"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        repeated = lookup_join(side(second, "b"), hot, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        return spread.join(repeated, [*keys, "_part"]).drop("_part").where("id_a < id_b and document_id_a <> document_id_b")
+
+    if new is None:
+        return meet(sure, sure)
+    ids = new.select("id").distinct()
+    fresh, old = sure.join(ids, "id", "left_semi"), sure.join(ids, "id", "left_anti")
+    return meet(fresh, sure).unionByName(meet(old, fresh))
 
 
 def factors(pairs: DataFrame) -> DataFrame:
@@ -188,8 +200,6 @@ def compare_all(facts: DataFrame) -> DataFrame:
 
 
 def fold_in(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Relationships that facts of new documents bring: those of a rebuild that touch a new fact."""
-    ids = new.select(F.col("id").alias("_new")).distinct()
-    rebuilt = compare_all(stored.unionByName(new))
-    touched = rebuilt.join(ids, F.col("fact_a_id") == F.col("_new"), "left_semi")
-    return touched.unionByName(rebuilt.join(ids, F.col("fact_b_id") == F.col("_new"), "left_semi")).dropDuplicates(["id"])
+    """Relationships that facts of new documents bring, as a rebuild would give them; stored facts are not paired with each other."""
+    once = facts_once(stored.unionByName(new))
+    return classify(candidate_pairs(once, new=new.where("id is not null"))).withColumn("id", relationship_id(F.col("fact_a_id"), F.col("fact_b_id")))
