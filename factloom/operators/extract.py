@@ -24,7 +24,7 @@ from factloom.functions import normalise as N
 from factloom.functions.vocabulary import CURRENCIES, LEGAL_FORMS, MAGNITUDES, MONTHS, NO_UNITS, STOPWORDS, SYMBOLS, UNIT_WORDS
 from factloom.operators.pages import LEADER_LINE, MIN_PAGE
 from factloom.operators.profile import clean_name, is_period, name_key
-from factloom.plans.joins import lookup_join
+from factloom.plans.joins import lookup_join, spread
 
 # Reasons, of which the first three are routine; most words of a label, the longest caption, and how far a label's words are looked for.
 BARE, YEAR, CONTENTS, NO_LABEL, EMPTY_LABEL, UNIT_LABEL, DUPLICATE, UNGROUNDED = (
@@ -299,7 +299,7 @@ def is_contents(text: Column) -> Column:
 
 def read_pages(pages: DataFrame, profiles: DataFrame) -> DataFrame:
     """Facts and refused candidates of all pages.  pages: document_id, page_number, text; profiles: from ``profile_documents``."""
-    known = lookup_join(pages.where(F.length(F.trim("text")) >= MIN_PAGE).select("document_id", "page_number", "text"), profiles, "document_id", salts=SALTS)
+    known = lookup_join(spread(pages).where(F.length(F.trim("text")) >= MIN_PAGE).select("document_id", "page_number", "text"), profiles, "document_id", salts=SALTS)
     names = [f.name for f in READ.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,3 +29,9 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer tasks than there are cores, as one of a few small files is, over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
