@@ -35,8 +35,8 @@ def test_quantities(spark):
 
 
 def test_names_and_metrics(spark):
-    names = ["Delhivery Limited", "Delhivery Ltd.", "Delhivery", "Northwind Freight's", "The Group", "", None, "  "]
-    assert list(_map(spark, names, N.entity_key).values()) == ["delhivery", "delhivery", "delhivery", "northwind_freight", "the_group", "unknown", "unknown", "unknown"]
+    names = ["Fleetline Limited", "Fleetline Ltd.", "Fleetline", "Northwind Freight's", "The Group", "", None, "  "]
+    assert list(_map(spark, names, N.entity_key).values()) == ["fleetline", "fleetline", "fleetline", "northwind_freight", "the_group", "unknown", "unknown", "unknown"]
     labels = ["foreign exchange reserves", "foreign exchange reserve", "policies in force", "the of", None, "Glasses"]
     assert list(_map(spark, labels, N.predicate_key).values()) == ["foreign_exchange_reserve", "foreign_exchange_reserve", "policy_force", "", "", "glass"]
     acronyms = F.create_map(F.lit("GDP"), F.lit("gross domestic product"))
