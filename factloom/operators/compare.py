@@ -20,8 +20,13 @@ from factloom.plans.joins import lookup_join
 # Verdicts and thresholds.
 CORROBORATED, CONTRADICTED, CONTEXTUAL, RELATED = "CORROBORATED", "CONTRADICTED", "CONTEXTUALLY_DIFFERENT", "RELATED_BUT_NOT_COMPARABLE"
 MIN_CONFIDENCE, MIN_OVERLAP, COMMON_SHARE, HEAD_FACTOR, ESTABLISHED_CONFIDENCE = 0.65, 0.8, 0.15, 0.8, 0.7
-#: Facts of one metric and subject from which on they are split, and into how many parts.
-HOT, PARTS = 20000, 16
+#: The steps of the decision: verdict and title of the summary, null where the pair is dropped.
+STEPS = [
+    (RELATED, "Incompatible units"), (CORROBORATED, "Corroborated"), (RELATED, "Not numerically comparable"), (None, None), (CORROBORATED, "Corroborated"), (CONTEXTUAL, "Different periods"),
+    (CONTEXTUAL, "Different scope"), (None, None), (RELATED, "Period not established"), (None, None), (CONTRADICTED, "Revision conflict"), (CONTRADICTED, "Direct conflict"),
+]
+#: Facts of one metric and subject from which on they are split, one part for each so many; rows repeated are fewer than pairs by this factor.
+HOT = 500
 
 _FIELDS = ["subject", "predicate_label", "value_raw", "value_text", "value_numeric", "unit", "time_period", "time_period_normalized", "scope", "qualifier", "confidence", "inferred", "family"]
 
@@ -29,7 +34,33 @@ _FIELDS = ["subject", "predicate_label", "value_raw", "value_text", "value_numer
 def facts_once(facts: DataFrame) -> DataFrame:
     """The columns that comparison reads, one row a fact."""
     inferred = F.coalesce(F.col("extraction_metadata.period_inferred_from_document"), F.lit(False)).alias("inferred")
-    return facts.where("id is not null").select("id", "document_id", "subject_normalized", "predicate", *_FIELDS[:-2], inferred, unit_family(F.col("unit")).alias("family")).distinct()
+    once = facts.where("id is not null").select("id", "document_id", "subject_normalized", "predicate", *_FIELDS[:-2], inferred).distinct()
+    return once.withColumn("family", unit_family(F.col("unit")))
+
+
+def _prepared() -> dict[str, Column]:
+    """What judging reads of one fact alone, so that it is worked out once a fact and not once a pair.
+
+    Pairs are many more than facts, and their code must stay small: the JVM does not compile a method above 8000 bytes.
+    """
+    c = F.col
+    stated = lambda k: F.coalesce(c(k) != "", F.lit(False))
+    shown = lambda k: F.coalesce(F.when(c(k) != "", c(k)), F.lit("unstated"))
+    what = F.concat(F.coalesce("predicate_label", F.lit("The metric")), F.lit(" of "), F.coalesce("subject", F.lit("the subject")))
+    return {
+        # units of two facts compare if these are equal or one is null
+        "_scale": F.when(c("family") == "currency", F.concat(F.lit("currency "), c("unit"))).when(c("family") != "unknown", c("family")),
+        "_text": F.lower(F.trim(F.coalesce(F.when(c("value_text") != "", c("value_text")), c("value_raw"), F.lit("")))),
+        "_dated": stated("time_period_normalized") & ~c("inferred"),
+        "_based": stated("qualifier"),
+        "_sure": F.bround("confidence", 3),
+        "_period": shown("time_period"),
+        "_scope": shown("scope"),
+        "_qualifier": shown("qualifier"),
+        "_raw": F.coalesce("value_raw", F.lit("none")),
+        "_what": what,
+        "_described": F.when(F.abs("value_numeric") < float("inf"), describe_value(c("value_numeric"), c("unit"))),
+    }
 
 
 def _words(key: str) -> Column:
@@ -74,7 +105,7 @@ def subject_pairs(facts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(facts: DataFrame, min_confidence: float = MIN_CONFIDENCE, new: DataFrame | None = None) -> DataFrame:
-    """Pairs of facts of different documents about one metric and subject: the fields of both with ``_a`` and ``_b``, tier and overlap.
+    """Pairs of facts of different documents about one metric and subject: the fields of both and what is prepared of them with ``_a`` and ``_b``, tier and overlap.
 
     The pair's first fact is that with the smaller id.  Facts under the confidence are dropped after words are counted,
     since they count there.  With ``new`` (id) only pairs that hold one of these are looked for, each from its new fact.
@@ -84,12 +115,13 @@ def candidate_pairs(facts: DataFrame, min_confidence: float = MIN_CONFIDENCE, ne
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{s}") for c in ("id", "document_id", "predicate", *[f for f in _FIELDS if f != "subject"])]
+        named += [c.alias(f"{k}_{s}") for k, c in _prepared().items()]
         return rows.select(F.col("_subject").alias(f"subject_{s}"), *named, F.col("subject").alias(f"name_{s}"))
 
     def meet(first: DataFrame, second: DataFrame) -> DataFrame:
         keys = ["predicate_b", "subject_b"]
         left = side(first, "a").join(metrics, "predicate_a").join(subjects, "subject_a")
-        hot = second.groupBy(F.col("predicate").alias("predicate_b"), F.col("_subject").alias("subject_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys, F.lit(PARTS).alias("_parts"))
+        hot = second.groupBy(F.col("predicate").alias("predicate_b"), F.col("_subject").alias("subject_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts"))
         spread = lookup_join(left, hot, keys).withColumn("_part", F.pmod(F.xxhash64("id_a"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
         repeated = lookup_join(side(second, "b"), hot, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         return spread.join(repeated, [*keys, "_part"]).drop("_part").where("id_a < id_b and document_id_a <> document_id_b")
@@ -104,88 +136,79 @@ def candidate_pairs(facts: DataFrame, min_confidence: float = MIN_CONFIDENCE, ne
 def factors(pairs: DataFrame) -> DataFrame:
     """Pairs with what decides about them: flags, the relative difference and both sides' stated contexts."""
     both = lambda c, f: f(F.col(f"{c}_a"), F.col(f"{c}_b"))
-    stated = lambda c: F.coalesce((F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != ""), F.lit(False))
-    has = lambda c, s: F.coalesce(F.col(f"{c}_{s}") != "", F.lit(False))
-    shown = lambda c: [F.coalesce(F.when(F.col(f"{c}_{s}") != "", F.col(f"{c}_{s}")), F.lit("unstated")) for s in "ab"]
+    differ = lambda c: both(c, lambda a, b: F.coalesce((a != "") & (b != "") & (a != b), F.lit(False)))
     scale = both("value_numeric", lambda a, b: F.greatest(F.abs(a), F.abs(b)))
     gap = both("value_numeric", lambda a, b: F.coalesce(F.when(scale > 0, F.abs(a - b) / scale), F.lit(0.0)))
-    differ = lambda c: stated(c) & (F.col(f"{c}_a") != F.col(f"{c}_b"))
-    period = stated("time_period_normalized") & ~F.col("inferred_a") & ~F.col("inferred_b")
-    alike = F.col("family_a").isin("unknown") | F.col("family_b").isin("unknown") | ((F.col("family_a") == F.col("family_b")) & ((F.col("family_a") != "currency") | F.coalesce(F.col("unit_a") == F.col("unit_b"), F.lit(False))))
-    same = F.coalesce(F.col("time_period_normalized_a") == F.col("time_period_normalized_b"), F.lit(False))
-    out = pairs.withColumns({
-        "_gap": gap, "period_stated_in_both": period, "temporal_match": period & same, "temporal_divergence": period & ~same, "units_comparable": alike, "values_match": gap <= TOLERANCE, "relative_difference": F.bround(gap, 4),
-        "scope_divergence": differ("scope"), "qualifier_divergence": differ("qualifier"), "qualifier_one_sided": has("qualifier", "a") != has("qualifier", "b"),
+    period = F.col("_dated_a") & F.col("_dated_b")
+    same = both("time_period_normalized", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    out = pairs.withColumn("_gap", gap).withColumns({
+        "period_stated_in_both": period, "temporal_match": period & same, "temporal_divergence": period & ~same, "units_comparable": both("_scale", lambda a, b: F.coalesce(a == b, F.lit(True))), "values_match": F.col("_gap") <= TOLERANCE,
+        "relative_difference": F.bround("_gap", 4), "scope_divergence": differ("scope"), "qualifier_divergence": differ("qualifier"), "qualifier_one_sided": F.col("_based_a") != F.col("_based_b"),
     })
-    named = {f"fact_{s}_{n}": shown(c)[i] for n, c in (("period", "time_period"), ("scope", "scope"), ("qualifier", "qualifier")) for i, s in enumerate("ab")}
-    return out.withColumn("period_established", F.col("temporal_match")).withColumns(named)
+    return out.withColumn("period_established", F.col("temporal_match")).withColumns({f"fact_{s}_{n}": F.col(f"_{n}_{s}") for n in ("period", "scope", "qualifier") for s in "ab"})
 
 
-def classify(pairs: DataFrame) -> DataFrame:
-    """One row for each pair that gets a verdict: fact_a_id, fact_b_id, relationship_type, comparison_summary, reasoning, reconciliation_factors, confidence."""
+def decide(pairs: DataFrame) -> DataFrame:
+    """Pairs that get a verdict with their factors, the ``_step`` of the decision and the confidence."""
     x = factors(pairs)
     c = F.col
     head = c("tier") == "head"
-    confidence = F.bround(F.least("confidence_a", "confidence_b"), 3)
-    confidence = F.when(head, F.bround(confidence * HEAD_FACTOR, 3)).otherwise(confidence)
-    text = [F.lower(F.trim(F.coalesce(F.when(c(f"value_text_{s}") != "", c(f"value_text_{s}")), c(f"value_raw_{s}"), F.lit("")))) for s in "ab"]
+    least = F.least("_sure_a", "_sure_b")
+    confidence = F.when(head, F.bround(least * HEAD_FACTOR, 3)).otherwise(least)
+    unread = c("value_numeric_a").isNull() | c("value_numeric_b").isNull()
+    textual = F.when((c("_text_a") != "") & (c("_text_a") == c("_text_b")), 1).otherwise(2)
     unjudged = (c("tier") != "exact") | (confidence < ESTABLISHED_CONFIDENCE)
-    # each step of the decision in order: condition, verdict (null drops the pair), title of the summary
-    steps = [
-        (~c("units_comparable"), RELATED, "Incompatible units"),
-        ((c("value_numeric_a").isNull() | c("value_numeric_b").isNull()) & (text[0] != "") & (text[0] == text[1]), CORROBORATED, "Corroborated"),
-        (c("value_numeric_a").isNull() | c("value_numeric_b").isNull(), RELATED, "Not numerically comparable"),
-        (c("values_match") & c("temporal_divergence"), None, None),
-        (c("values_match"), CORROBORATED, "Corroborated"),
-        (c("temporal_divergence"), CONTEXTUAL, "Different periods"),
-        (c("scope_divergence"), CONTEXTUAL, "Different scope"),
-        (~c("period_established") & unjudged, None, None),
-        (~c("period_established"), RELATED, "Period not established"),
-        (head, None, None),
-        (c("qualifier_divergence"), CONTRADICTED, "Revision conflict"),
-        (F.lit(True), CONTRADICTED, "Direct conflict"),
-    ]
-    step = F.lit(None).cast("int")
-    for i, (when, _, _) in reversed(list(enumerate(steps))):
-        step = F.when(when, i).otherwise(step)
-    x = x.withColumn("_step", step).withColumn("_confidence", confidence)
-    pick = lambda k: F.get(F.array(*[F.lit(s[k]) for s in steps]), c("_step"))
-    x = x.withColumn("relationship_type", pick(1)).where("relationship_type is not null")
-    label = F.coalesce("predicate_label_a", F.lit(""))
+    numeric = (
+        F.when(c("values_match"), F.when(c("temporal_divergence"), 3).otherwise(4))
+        .when(c("temporal_divergence"), 5)
+        .when(c("scope_divergence"), 6)
+        .when(~c("period_established"), F.when(unjudged, 7).otherwise(8))
+        .when(head, 9)
+        .otherwise(F.when(c("qualifier_divergence"), 10).otherwise(11))
+    )
+    step = F.when(~c("units_comparable"), 0).otherwise(F.when(unread, textual).otherwise(numeric))
+    return x.withColumn("_step", step).where(~c("_step").isin([i for i, (verdict, _) in enumerate(STEPS) if verdict is None])).withColumn("_confidence", confidence)
+
+
+def summary(step: Column, label: Column) -> Column:
+    """The title of a step of the decision with the metric's name."""
+    return F.left(F.concat(F.get(F.array(*[F.lit(title) for _, title in STEPS]), step), F.lit(": "), F.coalesce(label, F.lit(""))), F.lit(255))
+
+
+def classify(pairs: DataFrame) -> DataFrame:
+    """One row for each pair that gets a verdict: fact_a_id, fact_b_id, relationship_type, comparison_summary, reasoning, reconciliation_factors, confidence."""
+    c = F.col
     basis = F.struct(
         F.lit(True).alias("subject_match"), F.lit(True).alias("predicate_match"), "period_established", "period_stated_in_both", "units_comparable", "unit_a", "unit_b", "values_match", "relative_difference", "temporal_match", "temporal_divergence",
         "scope_divergence", "qualifier_divergence", "qualifier_one_sided", "fact_a_period", "fact_b_period", "fact_a_scope", "fact_b_scope", "fact_a_qualifier", "fact_b_qualifier", c("tier").alias("predicate_match_basis"), c("overlap").alias("predicate_word_overlap"),
     )
-    return x.select(
-        c("id_a").alias("fact_a_id"), c("id_b").alias("fact_b_id"), "relationship_type", F.left(F.concat(pick(2), F.lit(": "), label), F.lit(255)).alias("comparison_summary"),
+    return decide(pairs).select(
+        c("id_a").alias("fact_a_id"), c("id_b").alias("fact_b_id"), F.get(F.array(*[F.lit(verdict) for verdict, _ in STEPS]), c("_step")).alias("relationship_type"), summary(c("_step"), c("predicate_label_a")).alias("comparison_summary"),
         _reasoning().alias("reasoning"), basis.alias("reconciliation_factors"), c("_confidence").alias("confidence"),
     )
 
 
 def _reasoning() -> Column:
-    """A sentence for each step of the decision, with what it rests on."""
-    c, say = F.col, F.concat
-    a, b = F.coalesce("value_raw_a", F.lit("none")), F.coalesce("value_raw_b", F.lit("none"))
-    label, name = F.coalesce("predicate_label_a", F.lit("The metric")), F.coalesce("name_a", F.lit("the subject"))
-    gap = say(F.format_string("%.1f", c("_gap") * 100), F.lit(" per cent"))
-    pair = say(F.lit("'"), a, F.lit("' and '"), b, F.lit("'"))
-    periods = say(F.lit("'"), c("fact_a_period"), F.lit("' and '"), c("fact_b_period"), F.lit("'"))
-    bases = say(F.lit("'"), c("fact_a_qualifier"), F.lit("' and '"), c("fact_b_qualifier"), F.lit("'"))
-    texts = [
-        say(label, F.lit(" of "), name, F.lit(" is given in units without a common scale, "), F.coalesce("unit_a", F.lit("none")), F.lit(" and "), F.coalesce("unit_b", F.lit("none")), F.lit("; there are no exchange rates or deflators to compare them by.")),
-        say(F.lit("No number could be read, but both state "), pair, F.lit(" for "), label, F.lit(".")),
-        say(F.lit("At least one of "), pair, F.lit(" is no number, so they cannot be checked against each other.")),
-        F.lit(""),
-        say(label, F.lit(" of "), name, F.lit(" is "), pair, F.lit(", that is "), describe_value(c("value_numeric_a"), c("unit_a")), F.when(c("temporal_match"), say(F.lit(" for "), c("fact_a_period"))).otherwise(""), F.lit(", within the tolerance of 1.5 per cent.")),
-        say(label, F.lit(" of "), name, F.lit(" is "), pair, F.lit(", apart by "), gap, F.lit("; the periods are "), periods, F.lit(", so both may be right.")),
-        say(pair, F.lit(" are apart by "), gap, F.lit("; the scopes are '"), c("fact_a_scope"), F.lit("' and '"), c("fact_b_scope"), F.lit("', so both may be right.")),
-        F.lit(""),
-        say(pair, F.lit(" are apart by "), gap, F.lit(", but the periods "), periods, F.lit(" are not both stated beside the figures, so no conflict can be claimed.")),
-        F.lit(""),
-        say(label, F.lit(" of "), name, F.lit(" for "), c("fact_a_period"), F.lit(" is "), pair, F.lit(" on the bases "), bases, F.lit(", which points to a revision between releases.")),
-        say(label, F.lit(" of "), name, F.lit(" for "), c("fact_a_period"), F.lit(" is "), pair, F.lit(", apart by "), gap, F.when(c("qualifier_one_sided"), say(F.lit("; only one names its basis ("), bases, F.lit("), so a revision is likely."))).otherwise("; nothing stated accounts for it.")),
-    ]
-    return F.get(F.array(*texts), c("_step"))
+    """A sentence for each step of the decision, with what it rests on; only that of the pair's own step is put together."""
+    c, say = F.col, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    what, gap = c("_what_a"), F.format_string("%.1f", c("_gap") * 100)
+    step = c("_step")
+    pair, between = (c("_raw_a"), "' and '", c("_raw_b")), lambda k: (c(f"{k}_a"), "' and '", c(f"{k}_b"))
+    texts = {
+        0: say(what, " is given in units without a common scale, ", c("unit_a"), " and ", c("unit_b"), "; there are no exchange rates or deflators to compare them by."),
+        1: say("No number could be read, but both state '", *pair, "' for ", F.coalesce("predicate_label_a", F.lit("The metric")), "."),
+        2: say("At least one of '", *pair, "' is no number, so they cannot be checked against each other."),
+        4: say(what, " is '", *pair, "', that is ", c("_described_a"), F.when(c("temporal_match"), say(" for ", c("_period_a"))).otherwise(""), ", within the tolerance of 1.5 per cent."),
+        5: say(what, " is '", *pair, "', apart by ", gap, " per cent; the periods are '", *between("_period"), "', so both may be right."),
+        6: say("'", *pair, "' are apart by ", gap, " per cent; the scopes are '", *between("_scope"), "', so both may be right."),
+        8: say("'", *pair, "' are apart by ", gap, " per cent, but the periods '", *between("_period"), "' are not both stated beside the figures, so no conflict can be claimed."),
+        10: say(what, " for ", c("_period_a"), " is '", *pair, "' on the bases '", *between("_qualifier"), "', which points to a revision between releases."),
+        11: say(what, " for ", c("_period_a"), " is '", *pair, "', apart by ", gap, " per cent", F.when(c("qualifier_one_sided"), say("; only one names its basis ('", *between("_qualifier"), "'), so a revision is likely.")).otherwise("; nothing stated accounts for it.")),
+    }
+    out = F.lit(None).cast("string")
+    for i, text in reversed(texts.items()):
+        out = F.when(step == i, text).otherwise(out)
+    return out
 
 
 def relationship_id(a: Column, b: Column) -> Column:

@@ -17,6 +17,7 @@ from factloom.operators import pages as P
 from factloom.operators.profile import profile_documents
 from factloom.plans.joins import lookup_join
 from factloom.plans.staging import Stage
+from factloom.session import small_methods
 from factloom.sources.tables import table
 
 TOP, PAGE, MAX_ISSUES, SHOWN_ISSUES, SHOWCASE, WEAK = 6, 100, 200, 50, 60, 0.6
@@ -242,6 +243,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_methods(spark)
     return C.compare_all(table(spark, sf_dir, "facts"))
 
 

@@ -63,3 +63,30 @@ def test_a_hot_metric_is_split_and_whole(spark, monkeypatch):
     rows = [BASE | {"id": f"h{i}", "document_id": f"d{i % 4}"} for i in range(12)]
     facts = spark.createDataFrame([tuple(r[f.split()[0]] for f in SCHEMA.split(", ")) for r in rows], SCHEMA)
     assert compare_all(facts).count() == sum(1 for i in range(12) for j in range(i) if i % 4 != j % 4)
+
+
+def test_judging_pairs_runs_as_compiled_code(spark):
+    from factloom.queries_reference import QUERIES
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    QUERIES["relationship_reasoning"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_a_hot_metric_has_a_part_for_each_so_many_facts(spark, monkeypatch):
+    import factloom.operators.compare as compare
+
+    monkeypatch.setattr(compare, "HOT", 3)
+    rows = [BASE | {"id": f"h{i:02}", "document_id": f"d{i % 4}"} for i in range(60)]
+    facts = spark.createDataFrame([tuple(r[f.split()[0]] for f in SCHEMA.split(", ")) for r in rows], SCHEMA)
+    pairs = candidate_pairs(facts_once(facts))
+    assert "(_n" in pairs._jdf.queryExecution().analyzed().toString() and pairs.count() == 60 * 45 // 2
+    assert "ceil" in pairs._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_values_without_end_are_judged(spark):
+    rows = [BASE | {"id": i, "document_id": i, "value_numeric": v} for i, v in (("a", float("nan")), ("b", float("inf")), ("c", 1e9), ("d", None))]
+    facts = spark.createDataFrame([tuple(r[f.split()[0]] for f in SCHEMA.split(", ")) for r in rows], SCHEMA)
+    got = {(r["fact_a_id"], r["fact_b_id"]): (r["relationship_type"], r["reasoning"] is not None) for r in compare_all(facts).collect()}
+    assert len(got) == 6 and all(said for _, said in got.values())
+    assert got["a", "b"] == got["a", "c"] == got["b", "c"] == ("CONTRADICTED", True) and got["c", "d"] == ("CORROBORATED", True)
