@@ -222,6 +222,13 @@ def compare_all(facts: DataFrame) -> DataFrame:
     return classify(candidate_pairs(once)).withColumn("id", relationship_id(F.col("fact_a_id"), F.col("fact_b_id")))
 
 
+def count_agreement(facts: DataFrame) -> DataFrame:
+    """comparison_summary and pairs of the verdicts that rest on values or texts alone; pairs are counted by step and metric, titles come after."""
+    x = decide(candidate_pairs(facts_once(facts))).where(F.col("_step").isin([i for i, (_, title) in enumerate(STEPS) if title in ("Corroborated", "Not numerically comparable")]))
+    counts = x.groupBy("_step", "predicate_label_a").agg(F.count("*").alias("_n"))
+    return counts.groupBy(summary(F.col("_step"), F.col("predicate_label_a")).alias("comparison_summary")).agg(F.sum("_n").alias("pairs"))
+
+
 def fold_in(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Relationships that facts of new documents bring, as a rebuild would give them; stored facts are not paired with each other."""
     once = facts_once(stored.unionByName(new))

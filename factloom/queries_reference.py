@@ -269,7 +269,8 @@ def rebuilt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT comparison_summary, count(*) AS pairs FROM ({_RELATED.replace('gap <= 0.015 AND stated', 'gap <= 0.015 AND stated')}) WHERE comparison_summary LIKE 'Not numerically%' OR comparison_summary LIKE 'Corroborated%' GROUP BY 1")
 def textual_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs judged by their numbers' or their texts' agreement, by summary."""
-    return _related(spark, sf_dir).where("comparison_summary like 'Not numerically%' or comparison_summary like 'Corroborated%'").groupBy("comparison_summary").agg(F.count("*").alias("pairs"))
+    small_methods(spark)
+    return C.count_agreement(table(spark, sf_dir, "facts"))
 
 
 _NEW = "(SELECT arg_max(id, (coalesce(created_at, TIMESTAMP '1900-01-01'), id)) FROM source_documents)"

@@ -90,3 +90,17 @@ def test_values_without_end_are_judged(spark):
     got = {(r["fact_a_id"], r["fact_b_id"]): (r["relationship_type"], r["reasoning"] is not None) for r in compare_all(facts).collect()}
     assert len(got) == 6 and all(said for _, said in got.values())
     assert got["a", "b"] == got["a", "c"] == got["b", "c"] == ("CONTRADICTED", True) and got["c", "d"] == ("CORROBORATED", True)
+
+
+def test_agreement_is_counted_before_titles_are_written(spark):
+    from factloom.queries_reference import QUERIES
+
+    import factloom.operators.compare as compare
+
+    long = "m" * 300
+    facts = [BASE | {"id": f"{m}{i}", "document_id": f"d{i}", "predicate": f"metric_{m}", "predicate_label": long + m, "value_numeric": v} for m in "xy" for i, v in enumerate((1e9, 1.005e9, None, 5e9))]
+    rows = spark.createDataFrame([tuple(r[f.split()[0]] for f in SCHEMA.split(", ")) for r in facts], SCHEMA)
+    want = compare_all(rows).where("comparison_summary like 'Not numerically%' or comparison_summary like 'Corroborated%'").groupBy("comparison_summary").count()
+    got = {r["comparison_summary"]: r["pairs"] for r in compare.count_agreement(rows).collect()}
+    assert got == {r[0]: r[1] for r in want.collect()} and len(got) == 1 and sum(got.values()) == 8
+    assert "_step" in QUERIES["textual_compare"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[2].split("\n")[0]
