@@ -39,30 +39,29 @@ def facts_once(facts: DataFrame) -> DataFrame:
 
 
 def _prepared() -> dict[str, Column]:
-    """What judging reads of one fact alone, so that it is worked out once a fact and not once a pair.
-
-    Pairs are many more than facts, and their code must stay small: the JVM does not compile a method above 8000 bytes.
-    """
+    """What judging works out once a fact: numbers and a short key only, since they are shuffled with it."""
     c = F.col
+    # units of two facts compare if these are equal or one is null
+    scale = F.when(c("family") == "currency", F.concat(F.lit("currency "), c("unit"))).when(c("family") != "unknown", c("family"))
+    return {"_scale": scale, "_sure": F.bround("confidence", 3)}
+
+
+def _derived(s: str) -> dict[str, Column]:
+    """What judging reads of one side of a pair besides its fields."""
+    c = lambda k: F.col(f"{k}_{s}")
     stated = lambda k: F.coalesce(c(k) != "", F.lit(False))
     shown = lambda k: F.coalesce(F.when(c(k) != "", c(k)), F.lit("unstated"))
-    what = F.concat(F.coalesce("predicate_label", F.lit("The metric")), F.lit(" of "), F.coalesce("subject", F.lit("the subject")))
     return {
-        # units of two facts compare if these are equal or one is null
-        "_scale": F.when(c("family") == "currency", F.concat(F.lit("currency "), c("unit"))).when(c("family") != "unknown", c("family")),
-        "_text": F.lower(F.trim(F.coalesce(F.when(c("value_text") != "", c("value_text")), c("value_raw"), F.lit("")))),
-        "_dated": stated("time_period_normalized") & ~c("inferred"),
-        "_based": stated("qualifier"),
-        "_sure": F.bround("confidence", 3),
-        "_period": shown("time_period"),
-        "_scope": shown("scope"),
-        "_qualifier": shown("qualifier"),
-        "_raw": F.coalesce("value_raw", F.lit("none")),
-        "_what": what,
-        "_described": F.when(F.abs("value_numeric") < float("inf"), describe_value(c("value_numeric"), c("unit"))),
+        "_dated": stated("time_period_normalized") & ~c("inferred"), "_based": stated("qualifier"), "_period": shown("time_period"), "_scope": shown("scope"), "_qualifier": shown("qualifier"), "_raw": F.coalesce(c("value_raw"), F.lit("none")),
     }
 
 
+def _text(s: str) -> Column:
+    """The text of a value as it is compared."""
+    text, raw = F.col(f"value_text_{s}"), F.col(f"value_raw_{s}")
+    return F.lower(F.trim(F.coalesce(F.when(text != "", text), raw, F.lit(""))))
+
+
 def _words(key: str) -> Column:
     return F.filter(F.split(key, "_"), lambda w: w != "")
 
@@ -141,6 +140,7 @@ def factors(pairs: DataFrame) -> DataFrame:
     gap = both("value_numeric", lambda a, b: F.coalesce(F.when(scale > 0, F.abs(a - b) / scale), F.lit(0.0)))
     period = F.col("_dated_a") & F.col("_dated_b")
     same = both("time_period_normalized", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    pairs = pairs.withColumns({f"{k}_{s}": c for s in "ab" for k, c in _derived(s).items()})
     out = pairs.withColumn("_gap", gap).withColumns({
         "period_stated_in_both": period, "temporal_match": period & same, "temporal_divergence": period & ~same, "units_comparable": both("_scale", lambda a, b: F.coalesce(a == b, F.lit(True))), "values_match": F.col("_gap") <= TOLERANCE,
         "relative_difference": F.bround("_gap", 4), "scope_divergence": differ("scope"), "qualifier_divergence": differ("qualifier"), "qualifier_one_sided": F.col("_based_a") != F.col("_based_b"),
@@ -156,7 +156,7 @@ def decide(pairs: DataFrame) -> DataFrame:
     least = F.least("_sure_a", "_sure_b")
     confidence = F.when(head, F.bround(least * HEAD_FACTOR, 3)).otherwise(least)
     unread = c("value_numeric_a").isNull() | c("value_numeric_b").isNull()
-    textual = F.when((c("_text_a") != "") & (c("_text_a") == c("_text_b")), 1).otherwise(2)
+    textual = F.when((_text("a") != "") & (_text("a") == _text("b")), 1).otherwise(2)
     unjudged = (c("tier") != "exact") | (confidence < ESTABLISHED_CONFIDENCE)
     numeric = (
         F.when(c("values_match"), F.when(c("temporal_divergence"), 3).otherwise(4))
@@ -191,14 +191,15 @@ def classify(pairs: DataFrame) -> DataFrame:
 def _reasoning() -> Column:
     """A sentence for each step of the decision, with what it rests on; only that of the pair's own step is put together."""
     c, say = F.col, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    what, gap = c("_what_a"), F.format_string("%.1f", c("_gap") * 100)
+    what = say(F.coalesce("predicate_label_a", F.lit("The metric")), " of ", F.coalesce("name_a", F.lit("the subject")))
+    gap = F.format_string("%.1f", c("_gap") * 100)
     step = c("_step")
     pair, between = (c("_raw_a"), "' and '", c("_raw_b")), lambda k: (c(f"{k}_a"), "' and '", c(f"{k}_b"))
     texts = {
         0: say(what, " is given in units without a common scale, ", c("unit_a"), " and ", c("unit_b"), "; there are no exchange rates or deflators to compare them by."),
         1: say("No number could be read, but both state '", *pair, "' for ", F.coalesce("predicate_label_a", F.lit("The metric")), "."),
         2: say("At least one of '", *pair, "' is no number, so they cannot be checked against each other."),
-        4: say(what, " is '", *pair, "', that is ", c("_described_a"), F.when(c("temporal_match"), say(" for ", c("_period_a"))).otherwise(""), ", within the tolerance of 1.5 per cent."),
+        4: say(what, " is '", *pair, "', that is ", describe_value(c("value_numeric_a"), c("unit_a")), F.when(c("temporal_match"), say(" for ", c("_period_a"))).otherwise(""), ", within the tolerance of 1.5 per cent."),
         5: say(what, " is '", *pair, "', apart by ", gap, " per cent; the periods are '", *between("_period"), "', so both may be right."),
         6: say("'", *pair, "' are apart by ", gap, " per cent; the scopes are '", *between("_scope"), "', so both may be right."),
         8: say("'", *pair, "' are apart by ", gap, " per cent, but the periods '", *between("_period"), "' are not both stated beside the figures, so no conflict can be claimed."),
